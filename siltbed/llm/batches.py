@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that a kernel holds expanded at a time.
 SLICE_BYTES = 1 << 20
@@ -23,7 +24,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of ``batch`` with about ``limit`` bytes in ``column``, or one longer row."""
-    sizes = np.array([0 if v is None else v for v in pa.compute.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
+    sizes = np.array([0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < batch.num_rows:
