@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltbed.llm import mixing, quality, sharding, toxicity, url_filter
+from siltbed.llm import mixing, packing, quality, sharding, toxicity, url_filter
 from siltbed.storage import table
 
 RULES = [
@@ -18,6 +18,13 @@ RULES = [
 ]
 
 
+def byte_vocabulary() -> str:
+    """The installed byte-level vocabulary of 50,257 ids."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -35,13 +42,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer or byte_vocabulary())
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.grade_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op5_mixing, op7_toxicity, op9_quality)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op5_mixing, op7_toxicity, op8_best_fit_packing, op9_quality)}
 
 
 _RULE_ROWS = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
