@@ -73,13 +73,23 @@ def distinct(idx: np.ndarray, stamp: np.ndarray) -> np.ndarray:
     return idx[stamp[idx] == at]
 
 
-def presence(texts: list[str | None], sizes: tuple[int, ...], prose: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of every text, concatenated, and the number of each."""
+def presence(texts: list[str | None], sizes: tuple[int, ...], prose: bool, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``active`` buckets of every text, concatenated, and the number of each."""
     stamp = np.zeros(BUCKETS, np.int32)
-    out = [distinct(buckets(t, sizes, prose), stamp) for t in texts]
+    out = [distinct(buckets(t, sizes, prose, active), stamp) for t in texts]
     return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.array([len(x) for x in out], np.int64)
 
 
+def bucket_sums(texts: list[str | None], y: np.ndarray, sizes: tuple[int, ...], prose: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket, in how many texts it is and the sum of their ``y``; one text is expanded at a time."""
+    stamp, n, total = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for t, value in zip(texts, y.tolist(), strict=True):
+        idx = distinct(buckets(t, sizes, prose), stamp)
+        n[idx] += 1
+        total[idx] += value
+    return n, total
+
+
 def linear_scores(texts: list[str | None], weights: np.ndarray, sizes: tuple[int, ...], prose: bool) -> np.ndarray:
     """For each whole text, the sum of ``weights`` over its distinct buckets."""
     active, stamp, out = weights != 0, np.zeros(BUCKETS, np.int32), np.zeros(len(texts))
@@ -117,9 +127,3 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: in
     texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy(*order).collect()
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64)
-
-
-def scatter_mean(idx: np.ndarray, counts: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each bucket, in how many texts it is and the sum of their ``y``."""
-    n = np.bincount(idx, minlength=BUCKETS)
-    return n, np.bincount(idx, weights=np.repeat(y, counts), minlength=BUCKETS)

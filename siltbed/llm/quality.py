@@ -55,8 +55,7 @@ def fit(texts: list[str], ratings: np.ndarray, min_docs: int = 4, min_z: float =
     n, cuts = len(y), max(0, len(grades) - 1)
     if not cuts:
         return Model(np.zeros(0, np.int64), np.zeros(0), grades if len(grades) else np.zeros(1, np.int64), np.zeros(0))
-    idx, counts = ngrams.presence(texts, SIZES, False)
-    docs, total = ngrams.scatter_mean(idx, counts, y.astype(np.float64))
+    docs, total = ngrams.bucket_sums(texts, y.astype(np.float64), SIZES, False)
     # How far the mean grade with a feature lies from the mean without it, in standard errors.
     rest, variance = np.maximum(n - docs, 0), y.var() + 1e-12
     gap = total / np.maximum(docs, 1) - (y.sum() - total) / np.maximum(rest, 1)
@@ -64,8 +63,8 @@ def fit(texts: list[str], ratings: np.ndarray, min_docs: int = 4, min_z: float =
     chosen = np.flatnonzero((docs >= min_docs) & (rest > 0) & (np.abs(z) >= min_z))
     column = np.full(ngrams.BUCKETS, -1, np.int64)
     column[chosen] = np.arange(len(chosen))
+    idx, counts = ngrams.presence(texts, SIZES, False, column >= 0)
     row, col = np.repeat(np.arange(n), counts), column[idx]
-    row, col = row[col >= 0], col[col >= 0]
     k = len(chosen)
     share = np.cumsum(np.bincount(y, minlength=cuts + 1))[:-1] / n
     first = np.log(share / (1 - share))
@@ -89,7 +88,7 @@ def fit(texts: list[str], ratings: np.ndarray, min_docs: int = 4, min_z: float =
     return Model(chosen, v[:k], grades, unpack(v))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 6000, max_chars: int = 32_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 5000, max_chars: int = 20_000_000) -> Model:
     """Fits on a sample bounded by ``max_rows`` and ``max_chars`` of the rows outside the fold ``held_out``."""
     return fit(*ngrams.training_sample(docs, labels, "quality", held_out, max_rows, max_chars))
 

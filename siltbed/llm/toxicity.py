@@ -46,17 +46,16 @@ def fit(texts: list[str], y: np.ndarray, alpha: float = 0.5, min_docs: int = 4,
     base = float(np.log((n1 + alpha) / (n - n1 + alpha)))
     if n1 in (0.0, float(n)):
         return Model(np.zeros(0, np.int64), np.zeros(0), base)
-    idx, counts = ngrams.presence(texts, SIZES, True)
-    docs, pos = ngrams.scatter_mean(idx, counts, y)
+    docs, pos = ngrams.bucket_sums(texts, y, SIZES, True)
     p, q = pos + alpha, docs - pos + alpha
     ratio = np.log(p / (n1 + 2 * alpha)) - np.log(q / (n - n1 + 2 * alpha))
     z = ratio / np.sqrt(1 / p + 1 / q)
     chosen = np.flatnonzero((docs >= min_docs) & (np.abs(z) >= min_z))
     column = np.full(ngrams.BUCKETS, -1, np.int64)
     column[chosen] = np.arange(len(chosen))
+    idx, counts = ngrams.presence(texts, SIZES, True, column >= 0)
     row = np.repeat(np.arange(n), counts)
     col = column[idx]
-    row, col = row[col >= 0], col[col >= 0]
     x = ratio[chosen][col]
     k = len(chosen)
 
@@ -73,7 +72,7 @@ def fit(texts: list[str], y: np.ndarray, alpha: float = 0.5, min_docs: int = 4,
     return Model(chosen[keep], (w * ratio[chosen])[keep], float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 6000, max_chars: int = 32_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 5000, max_chars: int = 20_000_000) -> Model:
     """Fits on a sample bounded by ``max_rows`` and ``max_chars`` of the rows outside the fold ``held_out``."""
     return fit(*ngrams.training_sample(docs, labels, "toxic", held_out, max_rows, max_chars))
 
