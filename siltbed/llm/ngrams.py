@@ -62,7 +62,8 @@ def buckets(text: str | None, sizes: tuple[int, ...], prose: bool, active: np.nd
             idx = idx[:window]
             out.append(idx if active is None else idx[active[idx]])
     if not prose:
-        out.append(np.array([repeat_bucket(text or "")], np.int32))
+        idx = np.array([repeat_bucket(text or "")], np.int32)
+        out.append(idx if active is None else idx[active[idx]])
     return np.concatenate(out)
 
 
