@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltbed.llm import mixing, packing, quality, sharding, toxicity, url_filter
+from siltbed.llm import flac, mixing, packing, quality, sharding, toxicity, url_filter
 from siltbed.storage import table
 
 RULES = [
@@ -51,8 +51,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.document_features(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op5_mixing, op7_toxicity, op8_best_fit_packing, op9_quality)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op5_mixing, op7_toxicity, op8_best_fit_packing, op9_quality, op10_media_flac)}
 
 
 _RULE_ROWS = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
