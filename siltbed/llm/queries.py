@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltbed.llm import flac, mixing, packing, quality, sharding, toxicity, url_filter
+from siltbed.llm import flac, mixing, packing, quality, sharding, toxicity, url_filter, warc
 from siltbed.storage import table
 
 RULES = [
@@ -37,6 +37,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.response_records(table(spark, sf_dir, "pages"))).drop("record")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -56,7 +60,7 @@ def op10_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op5_mixing, op7_toxicity, op8_best_fit_packing, op9_quality, op10_media_flac)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op5_mixing, op6_warc, op7_toxicity, op8_best_fit_packing, op9_quality, op10_media_flac)}
 
 
 _RULE_ROWS = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
