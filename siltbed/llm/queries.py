@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltbed.llm import dart_minhash, flac, mixing, packing, quality, sharding, toxicity, url_filter, warc
+from siltbed.llm import cover_tree, dart_minhash, flac, mixing, packing, quality, sharding, toxicity, url_filter, warc
 from siltbed.storage import table
 
 RULES = [
@@ -33,6 +33,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op4_dart_minhash, op5_mixing, op6_warc, op7_toxicity, op8_best_fit_packing, op9_quality, op10_media_flac)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sharding, op3_cover_tree, op4_dart_minhash, op5_mixing, op6_warc, op7_toxicity, op8_best_fit_packing, op9_quality, op10_media_flac)}
 
 
 _RULE_ROWS = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
