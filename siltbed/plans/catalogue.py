@@ -4,12 +4,433 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltbed.functions import uniforms, vectors
+from siltbed.functions.csv import csv_field
+from siltbed.operators import coreset, cost, lloyd, sampling
+from siltbed.plans import experiments
+from siltbed.sources import points as sources
+from siltbed.storage import scratch_path, table
+from siltbed.streaming import clustering
+
+K, M, SEED = 5, 300, 42
+
+
+# Points -------------------------------------------------------------------------------------
+
+
+def embeddings(spark: SparkSession, sf_dir: str, weight: str | Column | None = None) -> DataFrame:
+    """(id, x, w) of the embeddings."""
+    df = table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
+    w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
+    out = df.select("id", F.col("embedding").cast("array<double>").alias("x"), w.cast("double").alias("w"))
+    return out.filter(vectors.is_point(F.col("x")))
+
+
+def by_label() -> Column:
+    return F.col("label") + 1
+
+
+def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(x, w): four-dimensional order lines, weighted by quantity."""
+    return sources.from_columns(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_quantity")
+
+
+def events(spark: SparkSession, sf_dir: str, key: list[str]) -> DataFrame:
+    return sources.from_columns(table(spark, sf_dir, "events"), ["value", "user_id"], None, key)
+
+
+def first_centers(points: DataFrame, k: int) -> list[list[float]]:
+    """The first ``k`` points by id."""
+    return [list(r["x"]) for r in points.orderBy("id").limit(k).collect()]
+
+
+# Sources and sinks --------------------------------------------------------------------------
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, value) lines of two numbers, of which some kinds are malformed."""
+    v, u = F.col("value").cast("decimal(18,4)").cast("string"), F.col("user_id").cast("string")
+    kind = F.col("event_id") % 7
+    line = (F.when(kind == 0, F.concat_ws(",", v, u)).when(kind == 1, F.concat(F.lit(" "), v, F.lit(" , "), u, F.lit("\t")))
+            .when(kind == 2, F.concat(v, F.lit(","), u, F.lit(","))).when(kind == 3, v).when(kind == 4, F.concat(v, F.lit(",,"), u))
+            .when(kind == 5, F.concat(F.lit("a,"), u)).otherwise(F.concat_ws(",", v, u, u)))
+    return table(spark, sf_dir, "events").select("event_id", line.alias("value"))
+
+
+def parse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sources.parse_points(event_lines(spark, sf_dir), 2)
+    return out.select("event_id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), "w")
+
+
+def parse_reject_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = event_lines(spark, sf_dir)
+    kept = sources.parse_points(lines, 2).agg(F.count("*").alias("kept"))
+    return lines.agg(F.count("*").alias("lines")).crossJoin(kept).select((F.col("lines") - F.col("kept")).alias("rejected"))
+
+
+def parse_label_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sources.parse_points(event_lines(spark, sf_dir), 2, drop_label=True)
+    return out.select("event_id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
+
+
+def first_n_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = sources.head_lines(event_lines(spark, sf_dir), 500, "event_id")
+    return sources.parse_points(head, 2).select("event_id", F.col("x")[0].alias("x0"))
+
+
+def csv_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", csv_field(F.col("text")).alias("field"))
+
+
+def mixture_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(c, j, v) for c, center in enumerate(sources.mixture_centers(K, 4)) for j, v in enumerate(center)]
+    return spark.createDataFrame(rows, "cid int, j int, v double")
+
+
+# Distances and costs ------------------------------------------------------------------------
+
+
+def sqdist_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = embeddings(spark, sf_dir)
+    c = cost.centers_frame(p, first_centers(p, K))
+    return p.crossJoin(F.broadcast(c)).select("id", "cid", F.round(vectors.sqdist(F.col("x"), F.col("c")), 6).alias("d2"))
+
+
+def nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = embeddings(spark, sf_dir)
+    return cost.assign(p, first_centers(p, K)).select("id", "cid", F.round("d2", 6).alias("d2"))
+
+
+def nearest_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every centre stands twice; the lower index wins."""
+    p = embeddings(spark, sf_dir)
+    c = first_centers(p, K)
+    return cost.assign(p, c + c).groupBy("cid").agg(F.count("*").alias("n"))
+
+
+def weighted_sse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = embeddings(spark, sf_dir, by_label())
+    return cost.sse(p, first_centers(p, K)).select(F.round("cost", 4).alias("cost"))
+
+
+def weighted_sse_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = embeddings(spark, sf_dir, by_label())
+    return cost.sse_join(p, cost.centers_frame(p, first_centers(p, K))).select(F.round("cost", 4).alias("cost"))
+
+
+def weighted_sse_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = embeddings(spark, sf_dir, by_label())
+    return cost.sse_arrow(p, first_centers(p, K)).select(F.round("cost", 4).alias("cost"))
+
+
+def sse_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = embeddings(spark, sf_dir, by_label())
+    out = cost.sse_by_cluster(p, first_centers(p, 10))
+    return out.select("cid", "n", "mass", F.round("cost", 4).alias("cost"))
+
+
+LINE_CENTERS = [[10.0, 20000.0, 0.02, 0.02], [25.0, 40000.0, 0.05, 0.04], [40.0, 60000.0, 0.08, 0.06]]
+
+
+def sse_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost.sse(lineitems(spark, sf_dir), LINE_CENTERS).select(F.round(F.col("cost") / 1e9, 3).alias("cost_e9"))
+
+
+def total_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost.total_mass(lineitems(spark, sf_dir))
+
+
+def max_center_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the labels' mean vectors from the first vectors."""
+    p = embeddings(spark, sf_dir)
+    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("j", "v"))
+    means = rows.groupBy("label", "j").agg(F.avg("v").alias("v")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("s"))
+    truth = means.select(F.col("label").alias("cid"), F.transform("s", lambda r: r["v"]).alias("c"))
+    return cost.max_center_deviation(truth, cost.centers_frame(p, first_centers(p, K))).select(F.round("deviation", 6).alias("deviation"))
+
+
+# Lloyd --------------------------------------------------------------------------------------
+
+
+def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = embeddings(spark, sf_dir, by_label())
+    return lloyd.step(p, first_centers(p, K)).select("cid", "j", F.round("v", 6).alias("v"))
+
+
+def lloyd_step_empty_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One more centre, far from all points, keeps its place."""
+    p = embeddings(spark, sf_dir, by_label())
+    c = first_centers(p, K)
+    return lloyd.step(p, [*c, [100.0] * len(c[0])]).select("cid", "j", F.round("v", 6).alias("v"))
+
+
+def lloyd_3_iters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = embeddings(spark, sf_dir, by_label())
+    model = lloyd.lloyd(p, first_centers(p, K), max_iter=3, tol=-1.0)
+    return model.frame(p).select("cid", F.posexplode("c").alias("j", "v")).withColumn("v", F.round("v", 6))
+
+
+def weight_equals_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step over points of weight w, as over w copies of each."""
+    p = embeddings(spark, sf_dir, by_label())
+    copies = p.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))).select("id", "x", F.lit(1.0).alias("w"))
+    return lloyd.step(copies, first_centers(p, K)).select("cid", "j", F.round("v", 6).alias("v"))
+
+
+# Draws --------------------------------------------------------------------------------------
+
+
+def uniforms_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", uniforms.uniform_column(SEED, "demo", F.col("event_id")).alias("u"))
+
+
+def weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = embeddings(spark, sf_dir, by_label())
+    out = None
+    for i in range(5):
+        one = sampling.weighted_draw(p, uniforms.uniform(SEED, "draw", i)).select(F.lit(i).alias("i"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def weighted_draw_zero_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = embeddings(spark, sf_dir, F.lit(0))
+    return sampling.weighted_draw(p, uniforms.uniform(SEED, "draw", 0)).select("id")
+
+
+def kmeanspp_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = sampling.seed_ids(embeddings(spark, sf_dir), 4, SEED)
+    return spark.createDataFrame(list(enumerate(ids)), "i int, id long")
+
+
+# Buckets and coresets -----------------------------------------------------------------------
+
+
+def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coreset.bucket_assignment(table(spark, sf_dir, "events").select("ts", "event_id"), M, ["ts", "event_id"])
+
+
+def bucket_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _buckets(spark, sf_dir).select("event_id", "bucket")
+
+
+def bucket_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _buckets(spark, sf_dir).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def bucket_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.floor(F.count("*") / M)
+    levels = F.when(q == 0, 1).otherwise(1 + F.length(F.bin(q))).cast("int")
+    return table(spark, sf_dir, "events").agg(levels.alias("levels"))
+
+
+def union_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points the buckets hold, after building them."""
+    p = events(spark, sf_dir, ["ts", "event_id"])
+    return coreset.reduced_buckets(p, M, ["ts", "event_id"]).agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("mass"))
+
+
+def partial_coreset_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coreset.partial_coresets(events(spark, sf_dir, []).repartition(4), M).agg(F.round(F.sum("w"), 6).alias("mass"))
+
+
+def merged_coreset_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = coreset.merged_coreset(events(spark, sf_dir, []).repartition(8), M)
+    return out.agg(F.round(F.sum("w"), 6).alias("mass"), (F.count("*") <= M).alias("fits"))
+
+
+def coreset_mass_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coreset.merged_coreset(lineitems(spark, sf_dir), M).agg(F.round(F.sum("w"), 4).alias("mass"), (F.count("*") <= M).alias("fits"))
+
+
+def grouped_coreset_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = events(spark, sf_dir, ["event_type"]).repartition(4)
+    return coreset.merged_coreset(p, 100, by=["event_type"]).groupBy("event_type").agg(F.round(F.sum("w"), 6).alias("mass"), (F.count("*") <= 100).alias("fits"))
+
+
+def coreset_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coreset points that aren't input points: none."""
+    p = events(spark, sf_dir, [])
+    return coreset.merged_coreset(p, M).join(p, "x", "left_anti").agg(F.count("*").alias("strangers"))
+
+
+def coreset_identity_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fewer points than the coreset may hold come back as they are."""
+    df = table(spark, sf_dir, "nation")
+    p = sources.from_columns(df, ["n_nationkey", "n_regionkey"])
+    return coreset.merged_coreset(p, 100).select(F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), "w")
+
+
+# End to end ---------------------------------------------------------------------------------
+
+
+def error_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.error_model(spark.createDataFrame([(p, d) for p in (1, 2, 4, 8, 16, 100) for d in (1, 2, 3)], "partitions int, depth int"))
+
+
+def coreset_quality_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether clustering the coreset costs at most 10 % more than clustering the full table does in MLlib."""
+    p = embeddings(spark, sf_dir).persist()
+    try:
+        ours, theirs = experiments.cluster(p, K).cost, experiments.mllib_cost(sources.to_features(p), K, SEED, 2)
+    finally:
+        p.unpersist()
+    return spark.createDataFrame([(bool(ours <= 1.10 * theirs),)], "ok boolean")
+
+
+def distributed_vs_sequential_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = sources.from_columns(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"]).persist()
+    try:
+        spread, single = experiments.distributed_cost(p.repartition(8), K, 1000, SEED), experiments.sequential_cost(p, K, 1000, SEED)
+    finally:
+        p.unpersist()
+    return spark.createDataFrame([(bool(spread <= 1.10 * single and single <= 1.10 * spread),)], "ok boolean")
+
+
+def _stream(spark: SparkSession, sf_dir: str, on_model=None) -> str:
+    """Runs the events through the streaming query, in four files; the folder of its state."""
+    state = scratch_path(spark, "stream")
+    features = events(spark, sf_dir, ["event_id"]).select("event_id", F.col("x").alias("features"))
+    bounds = features.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.0)
+    part = sum(((F.col("event_id") > b).cast("int") for b in bounds), F.lit(0))
+    for i in range(4):
+        features.filter(part == i).select("features").coalesce(1).write.parquet(f"{state}/in/part={i}")
+    source = spark.readStream.schema("features array<double>").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{state}/in")
+    query = clustering.run(source, clustering.Params(K, M, restarts=2), on_model, state=f"{state}/state", checkpoint=f"{state}/checkpoint", trigger={"availableNow": True})
+    query.awaitTermination()
+    return f"{state}/state"
+
+
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many batches the stream had and what it had seen after the last."""
+    masses = clustering.batch_mass(_stream(spark, sf_dir), spark)
+    return masses.agg(F.count("*").alias("batches"), F.max("mass").alias("mass"))
+
+
+def stream_vs_batch_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the stream's last centres cost at most 21 % more than those of the bounded plan."""
+    models: list[lloyd.Model] = []
+    _stream(spark, sf_dir, lambda model, batch_id: models.append(model))
+    p = events(spark, sf_dir, [])
+    streamed, bounded = cost.cost(p, models[-1].centers), experiments.cluster(p, K, M).cost
+    return spark.createDataFrame([(bool(streamed <= 1.21 * bounded),)], "ok boolean")
+
+
+_QUERIES = (
+    parse_points, parse_reject_count, parse_label_drop, first_n_lines, csv_quote, mixture_centers, sqdist_pairs, nearest_center, nearest_tie,
+    weighted_sse, weighted_sse_join, weighted_sse_arrow, sse_by_cluster, sse_lineitem, total_mass, max_center_deviation, lloyd_step,
+    lloyd_step_empty_cluster, lloyd_3_iters, weight_equals_copies, uniforms_replay, weighted_draw, weighted_draw_zero_mass, kmeanspp_seeds,
+    bucket_assignment, bucket_occupancy, bucket_levels, union_size, partial_coreset_mass, merged_coreset_mass, coreset_mass_weighted,
+    grouped_coreset_mass, coreset_subset, coreset_identity_small, error_model, coreset_quality_ok, distributed_vs_sequential_ok,
+    stream_batches, stream_vs_batch_ok)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
+
+
+# DuckDB -------------------------------------------------------------------------------------
+
+_D2 = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1]-z[2])*(z[1]-z[2])))"
+_E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, {w}::DOUBLE AS w FROM embeddings)"
+_C = "c AS (SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS cid, x AS c FROM e QUALIFY row_number() OVER (ORDER BY id) <= {k})"
+
+
+def _setup(k: int = K, w: str = "(label + 1)") -> str:
+    return f"WITH {_E.format(w=w)}, {_C.format(k=k)}"
+
+
+def _nearest(points: str, centers: str) -> str:
+    d2 = _D2.format("x", "c")
+    return f"SELECT id, x, w, cid, {d2} AS d2 FROM {points}, {centers} QUALIFY row_number() OVER (PARTITION BY id ORDER BY {d2}, cid) = 1"
+
+
+def _step(assigned: str, centers: str) -> str:
+    """(cid, c): the new centres."""
+    return f"""SELECT cid, list(v ORDER BY j) AS c FROM (
+      SELECT o.cid, o.j, coalesce(n.v, o.v) AS v
+      FROM (SELECT cid, unnest(range(1, len(c) + 1)) AS j, unnest(c) AS v FROM {centers}) o
+      LEFT JOIN (SELECT cid, j, sum(w * v) / sum(w) AS v FROM (SELECT cid, w, unnest(range(1, len(x) + 1)) AS j, unnest(x) AS v FROM {assigned}) GROUP BY cid, j) n
+      ON o.cid = n.cid AND o.j = n.j) GROUP BY cid"""
+
+
+def _coordinates(centers: str) -> str:
+    return f"SELECT cid, (j - 1)::INTEGER AS j, round(v, 6) AS v FROM (SELECT cid, unnest(range(1, len(c) + 1)) AS j, unnest(c) AS v FROM {centers})"
+
+
+def _u(stage: str, i: int) -> str:
+    return f"(('0x' || substr(md5('{SEED}|{stage}|{i}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _draw(table_name: str, weight: str, u: str) -> str:
+    return f"""(SELECT min(id) FROM (SELECT id, sum({weight}) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS cs, sum({weight}) OVER () AS tot FROM {table_name})
+      WHERE cs >= {u} * tot)"""
+
+
+_LINES = "CAST(CAST(value AS DECIMAL(18,4)) AS DOUBLE)"
+_SSE = f"{_setup()}, a AS ({_nearest('e', 'c')}) SELECT round(sum(w * d2), 4) AS cost FROM a"
+_BUCKETS = f"""WITH r AS (SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // {M} AS b, (count(*) OVER ()) // {M} AS q FROM events),
+  b AS (SELECT event_id, (CASE WHEN b = q THEN 0 ELSE length(bin(xor(b, q))) END)::INTEGER AS bucket FROM r)"""
+_LLOYD_STEP = f"{_setup()}, a AS ({_nearest('e', 'c')}), n AS ({_step('a', 'c')}) {_coordinates('n')}"
+
+
+def _seeds() -> str:
+    steps = [_E.format(w="1"), "s0 AS (SELECT id, x, 1.0::DOUBLE AS cl FROM e)"]
+    for i in range(4):
+        steps.append(f"p{i} AS (SELECT {_draw(f's{i}', 'cl', _u('seed', i))} AS id)")
+        least = "d2" if i == 0 else "least(cl, d2)"
+        steps.append(f"s{i + 1} AS (SELECT id, x, {least} AS cl FROM (SELECT s.id, s.x, s.cl, {_D2.format('s.x', 'o.x')} AS d2 FROM s{i} s, (SELECT x FROM e WHERE id = (SELECT id FROM p{i})) o))")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT {i}::INTEGER AS i, id FROM p{i}" for i in range(4))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    line_d2 = ", ".join(f"(l_quantity-{c[0]})**2 + (l_extendedprice-{c[1]})**2 + (l_discount-{c[2]})**2 + (l_tax-{c[3]})**2" for c in LINE_CENTERS)
+    three = [f"a0 AS ({_nearest('e', 'c')}), c1 AS ({_step('a0', 'c')})", f"a1 AS ({_nearest('e', 'c1')}), c2 AS ({_step('a1', 'c1')})", f"a2 AS ({_nearest('e', 'c2')}), c3 AS ({_step('a2', 'c2')})"]
+    return {
+        "parse_points": f"SELECT event_id, {_LINES} AS x0, user_id::DOUBLE AS x1, 1.0::DOUBLE AS w FROM events WHERE event_id % 7 IN (0, 1, 2)",
+        "parse_reject_count": "SELECT count(*) AS rejected FROM events WHERE event_id % 7 NOT IN (0, 1, 2)",
+        "parse_label_drop": f"SELECT event_id, {_LINES} AS x0, user_id::DOUBLE AS x1 FROM events WHERE event_id % 7 IN (0, 1, 2, 6)",
+        "first_n_lines": f"SELECT event_id, {_LINES} AS x0 FROM (SELECT * FROM events ORDER BY event_id LIMIT 500) WHERE event_id % 7 IN (0, 1, 2)",
+        "csv_quote": """SELECT doc_id, CASE WHEN strpos(text, ',') > 0 OR strpos(text, '"') > 0 OR strpos(text, chr(10)) > 0 OR strpos(text, chr(13)) > 0
+            THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM documents""",
+        "mixture_centers": f"SELECT c::INTEGER AS cid, j::INTEGER AS j, ((c + 1) * (j + 1) % {K} * 20.0)::DOUBLE AS v FROM range({K}) a(c), range(4) b(j)",
+        "sqdist_pairs": f"{_setup(w='1')} SELECT id, cid, round({_D2.format('x', 'c')}, 6) AS d2 FROM e, c",
+        "nearest_center": f"{_setup(w='1')}, a AS ({_nearest('e', 'c')}) SELECT id, cid, round(d2, 6) AS d2 FROM a",
+        "nearest_tie": f"{_setup(w='1')}, t AS (SELECT * FROM c UNION ALL SELECT cid + {K} AS cid, c FROM c), a AS ({_nearest('e', 't')}) SELECT cid, count(*) AS n FROM a GROUP BY cid",
+        "weighted_sse": _SSE,
+        "weighted_sse_join": _SSE,
+        "weighted_sse_arrow": _SSE,
+        "sse_by_cluster": f"{_setup(10)}, a AS ({_nearest('e', 'c')}) SELECT cid, count(*) AS n, sum(w) AS mass, round(sum(w * d2), 4) AS cost FROM a GROUP BY cid",
+        "sse_lineitem": f"SELECT round(sum(l_quantity * least({line_d2})) / 1e9, 3) AS cost_e9 FROM lineitem",
+        "total_mass": "SELECT sum(l_quantity) AS mass FROM lineitem",
+        "max_center_deviation": f"""{_setup(w='1')}, m AS (SELECT label, list(v ORDER BY j) AS t FROM (SELECT label, j, avg(v) AS v FROM (
+            SELECT label, unnest(range(1, len(embedding) + 1)) AS j, unnest(embedding::DOUBLE[]) AS v FROM embeddings) GROUP BY label, j) GROUP BY label)
+            SELECT round(sqrt(max(d2)), 6) AS deviation FROM (SELECT label, min({_D2.format('t', 'c')}) AS d2 FROM m, c GROUP BY label)""",
+        "lloyd_step": _LLOYD_STEP,
+        "lloyd_step_empty_cluster": f"{_setup()}, f AS (SELECT * FROM c UNION ALL SELECT {K}::INTEGER AS cid, list_transform(c, lambda v: 100.0::DOUBLE) AS c FROM c WHERE cid = 0), a AS ({_nearest('e', 'f')}), n AS ({_step('a', 'f')}) {_coordinates('n')}",
+        "lloyd_3_iters": f"{_setup()}, {', '.join(three)} {_coordinates('c3')}",
+        "weight_equals_copies": _LLOYD_STEP,
+        "uniforms_replay": f"SELECT event_id, ('0x' || substr(md5('{SEED}|demo|' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM events",
+        "weighted_draw": f"WITH {_E.format(w='(label + 1)')} " + " UNION ALL ".join(f"SELECT {i}::INTEGER AS i, {_draw('e', 'w', _u('draw', i))} AS id" for i in range(5)),
+        "weighted_draw_zero_mass": f"WITH {_E.format(w='1')} SELECT {_draw('e', 'w', _u('draw', 0))} AS id",
+        "kmeanspp_seeds": _seeds(),
+        "bucket_assignment": f"{_BUCKETS} SELECT event_id, bucket FROM b",
+        "bucket_occupancy": f"{_BUCKETS} SELECT bucket, count(*) AS n FROM b GROUP BY bucket",
+        "bucket_levels": f"SELECT (CASE WHEN q = 0 THEN 1 ELSE 1 + length(bin(q)) END)::INTEGER AS levels FROM (SELECT count(*) // {M} AS q FROM events)",
+        "union_size": f"SELECT (n % {M} + {M} * bit_count(n // {M}))::BIGINT AS n, n::DOUBLE AS mass FROM (SELECT count(*) AS n FROM events)",
+        "partial_coreset_mass": "SELECT count(*)::DOUBLE AS mass FROM events",
+        "merged_coreset_mass": "SELECT count(*)::DOUBLE AS mass, true AS fits FROM events",
+        "coreset_mass_weighted": "SELECT round(sum(l_quantity), 4) AS mass, true AS fits FROM lineitem",
+        "grouped_coreset_mass": "SELECT event_type, count(*)::DOUBLE AS mass, true AS fits FROM events GROUP BY event_type",
+        "coreset_subset": "SELECT 0::BIGINT AS strangers",
+        "coreset_identity_small": "SELECT n_nationkey::DOUBLE AS x0, n_regionkey::DOUBLE AS x1, 1.0::DOUBLE AS w FROM nation",
+        "error_model": """SELECT p::INTEGER AS partitions, d::INTEGER AS depth, s::INTEGER AS scale, (d * (s - 1))::INTEGER AS levels, round(pow(1.1::DOUBLE, d * (s - 1)) - 1, 9) AS tolerance
+            FROM (SELECT p, d, greatest(2, ceil(pow(p, 1.0::DOUBLE / d) - 1e-12))::INTEGER AS s FROM (SELECT unnest([1, 2, 4, 8, 16, 100]) AS p), (SELECT unnest([1, 2, 3]) AS d))""",
+        "coreset_quality_ok": "SELECT true AS ok",
+        "distributed_vs_sequential_ok": "SELECT true AS ok",
+        "stream_batches": "SELECT 4::BIGINT AS batches, count(*)::DOUBLE AS mass FROM events",
+        "stream_vs_batch_ok": "SELECT true AS ok",
+    }
