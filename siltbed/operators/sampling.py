@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions import vectors
 from siltbed.functions.uniforms import uniform, uniform_column
+from siltbed.operators import cost
 
 #: Cells of ids whose sums are put in order first.
 CELLS = 4096
@@ -78,16 +82,53 @@ def seed_ids(points: DataFrame, k: int, seed: int, stage: str = "seed", key: str
     return ids
 
 
+def hashed_uniforms(ids: np.ndarray, *counters: int) -> np.ndarray:
+    """A number in (0, 1) for each id and the counters, whatever task asks for it (splitmix64)."""
+    x = ids.astype(np.int64).view(np.uint64).copy()
+    for c in counters:
+        x = (x ^ np.uint64(c & 0xFFFFFFFFFFFFFFFF)) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _fastest(points: DataFrame, centers: list[list[float]], seed: int, n: int, key: str) -> list[float] | None:
+    """The winner of an exponential race in which a point's rate is its weight times its squared
+    distance to ``centers`` (its weight without any); each task sends its own winner alone."""
+    known = np.array(centers, np.float64)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x, rate = batch.column("id").to_numpy(), cost.flat(batch.column("x")), batch.column("w").to_numpy().copy()
+            if len(known):
+                rate *= cost.distances(x, known).min(axis=1)
+            with np.errstate(divide="ignore"):
+                arrival = -np.log(hashed_uniforms(ids, seed, n)) / rate
+            i = int(np.lexsort((ids, arrival))[0])
+            if rate[i] > 0 and (best is None or (arrival[i], ids[i]) < best[:2]):
+                best = (arrival[i], ids[i], x[i].tolist())
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.int64()), pa.array([best[2]], pa.list_(pa.float64()))], names=["arrival", "id", "x"])
+
+    won = points.select(F.col(key).cast("long").alias("id"), "x", "w").mapInArrow(kernel, "arrival double, id long, x array<double>")
+    first = won.orderBy("arrival", "id").limit(1).first()
+    return None if first is None else list(first["x"])
+
+
 def seed_centers(points: DataFrame, k: int, seed: int, key: str = "id") -> list[list[float]]:
-    """k-means++ seeds by exponential races: a pass and a top-1 per centre."""
+    """k-means++ seeds of a table: one pass per centre, a row per task to the driver.
+
+    Fewer come back where there are fewer distinct points with weight; without any it fails.
+    """
     if k < 1:
         raise ValueError("k must be positive")
     centers: list[list[float]] = []
-    for i in range(k):
-        got = race_draw(closest(points, centers), seed, f"race{i}", 1, "mass", key).first()
-        if got is None and not centers:
-            raise ValueError("no points with weight")
-        if got is None:  # fewer distinct points than centres
-            break
-        centers.append(list(got["x"]))
+    while len(centers) < k and (x := _fastest(points, centers, seed, len(centers), key)) is not None:
+        centers.append(x)
+    if not centers:
+        raise ValueError("no points with weight")
     return centers
