@@ -56,7 +56,7 @@ def buckets(text: str | None, sizes: tuple[int, ...], prose: bool, active: np.nd
     Without ``prose``, the bucket of its share of repeated words is among them. A text longer
     than ``window`` is read in windows that overlap, so every n-gram is seen.
     """
-    flat, out = np.frombuffer(prepare(text, prose), np.uint8), []
+    flat, out = np.frombuffer(prepare(text, prose), np.uint8), [np.zeros(0, np.int32)]
     for lo in range(0, len(flat), window):
         for _, idx in hashed(flat[lo : lo + window + max(sizes) - 1], sizes):
             idx = idx[:window]
