@@ -9,6 +9,7 @@ remains is filled with documents in a seeded order.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,7 +102,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     once. The decision is by ``doc_id``: rows that share one are all repeated as the most taken is.
     """
     taken = mix_documents(docs, whole=True, **options).filter("size > 0 and doc_id is not null")
-    times = taken.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    out = docs.join(times.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left")
-    out = out.withColumn("__times", F.coalesce("__times", F.lit(1))).filter("__times > 0")
-    return out.withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)
+    key, times, copy = (f"__{name}_{uuid.uuid4().hex}" for name in ("key", "times", "copy"))  # clash with no column
+    often = taken.groupBy(F.col("doc_id").alias(key)).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias(times))
+    out = docs.join(often, F.col("doc_id") == F.col(key), "left")
+    out = out.withColumn(times, F.coalesce(times, F.lit(1))).filter(F.col(times) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
