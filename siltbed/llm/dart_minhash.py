@@ -8,12 +8,13 @@ a coordinate is the same in two texts with the probability of their weighted Jac
 
 Equal multisets collapse first. Texts that share a band meet in a bucket: all its members are
 compared with the bucket's most central one, and only those that are not yet in one component
-are compared with each other, block by block, by signature bytes. Every pair that survives is
-verified on the whole texts. No bucket, candidate list or group is ever capped.
+are compared with each other, block by block, in kernels that give back links and never pairs.
+Every link is verified on the whole texts. No bucket, candidate list or group is ever capped.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ BANDS, ROWS = 32, 6
 #: A pair is verified where its signatures agree this much less than the similarity asked for:
 #: over five standard errors of an estimate from BANDS * ROWS coordinates.
 SLACK = 0.15
-#: Members of a bucket that are compared at a time.
-BLOCK = 256
+#: Members of a bucket, and units of their texts, that are compared at a time.
+BLOCK, BLOCK_UNITS = 256, 1 << 20
 #: Ids up to this number (16 MB) are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -194,48 +195,76 @@ def _verify(pairs: DataFrame, docs: DataFrame, least: float, width: int) -> Data
                 keep = [similarity(x, y) >= least for x, y in zip(a, b, strict=True)]
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
-    n = ids.count()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
-    texts = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
-    texts = materialize(texts, "texts")
+    texts = _texts(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")))
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
     both = both.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
     return both.select("u", "v", "tu", "tv").mapInArrow(kernel, "u long, v long")
 
 
-def _cross_pairs(members: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
-    """Near pairs (u, v) of different components among ``members`` (bucket, band, doc_id, component).
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents ``ids`` (id), read from the corpus once."""
+    ids = materialize(ids.distinct(), "ids")
+    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
+    return materialize(texts.join(known, "id", "left_semi"), "texts")
+
+
+def _elements(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, elements): the sorted units of every text, as bytes."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                element, counts = units(part.column("text").to_pylist(), width)
+                packed = [np.sort(u).astype("<u8").tobytes() for u in np.split(element, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], names=["doc_id", "elements"])
+
+    return texts.mapInArrow(kernel, "doc_id long, elements binary")
+
+
+def _cross_links(members: DataFrame, elements: DataFrame, floor: float, least: float) -> DataFrame:
+    """Links (u, v) that join different components among ``members`` (bucket, band, doc_id, component,
+    sketch, units); every pair of them that shares a bucket is judged.
 
-    A bucket's members are dealt into blocks by a hash; each pair of blocks is one group of rows.
-    A pair that shares several bands comes from the first alone.
+    A bucket's members are dealt into blocks of bounded number and size by a hash; each pair of
+    blocks is one group of rows and holds what judging its pairs takes: sketches, and the units
+    of the texts for those whose sketches agree. No pair is ever a row; a link is one only
+    where it joins what the group has not joined yet. A pair that shares several bands is judged
+    in the first alone.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["bucket", "i", "j"]):
             ids, comp = (group.column(c).to_numpy() for c in ("doc_id", "component"))
+            comp = comp.copy()
             sketch, block = _sketches(group.column("sketch")), group.column("block").to_numpy()
+            element = [np.frombuffer(e, "<u8") for e in group.column("elements").to_pylist()]
             i, j, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             us, vs = [], []
             for a in left.tolist():
                 b = right[(comp[right] != comp[a]) & ((ids[right] > ids[a]) if i == j else True)]
-                if not len(b):
-                    continue
                 same = sketch[b] == sketch[a]
-                near = (same.mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= floor
+                near = (same.mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= floor if len(b) else np.zeros(0, bool)
                 shared = same[near].reshape(-1, BANDS, ROWS).all(axis=2)
-                hit = b[near][shared.argmax(axis=1) == band]
-                us += [min(int(ids[a]), int(x)) for x in ids[hit]]
-                vs += [max(int(ids[a]), int(x)) for x in ids[hit]]
+                b = b[near][shared.argmax(axis=1) == band]
+                if not len(b):
+                    continue
+                own, sizes = element[a], np.array([len(element[x]) for x in b.tolist()])
+                flat = np.concatenate([element[x] for x in b.tolist()])
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+                for x in b[both >= least * (sizes + len(own) - both)].tolist():
+                    if comp[x] != comp[a]:
+                        us.append(min(int(ids[a]), int(ids[x])))
+                        vs.append(max(int(ids[a]), int(ids[x])))
+                        comp[comp == comp[x]] = comp[a]
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    per = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    per = per.filter("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(per, "bucket").join(sketches.select("doc_id", "sketch"), "doc_id")
+    rows = members.join(elements, "doc_id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("bucket", "band", "doc_id", "component", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.select("bucket", "band", "doc_id", "component", "sketch", "elements", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(kernel, "u long, v long")
 
 
@@ -255,8 +284,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     # Equal multisets: one of them stands for all.
     prints = signed.filter("units > 0").groupBy("print1", "print2").agg(F.min("doc_id").alias("rep"))
     reps = signed.join(prints.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("units > 0")
-    reps = materialize(reps.select("doc_id", "bands", "sketch"), "reps")
-    sketches = reps.dropDuplicates(["doc_id"]).select("doc_id", "sketch")
+    reps = materialize(reps.select("doc_id", "bands", "sketch", "units"), "reps")
+    sketches = reps.dropDuplicates(["doc_id"]).select("doc_id", "sketch", "units")
     spread = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(spread.join(shared, "bucket"), "members")
@@ -270,7 +299,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     # What is left in a bucket beside its leader, and not in one component yet.
     rest = led.filter("doc_id <> leader").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     rest = rest.select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    more = materialize(_verify(materialize(_cross_pairs(rest, sketches, floor), "near"), docs, least, width), "links")
+    rest = rest.join(sketches, "doc_id")
+    per = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("units").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    per = per.filter("lo <> hi").select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_UNITS)).cast("int").alias("blocks"))
+    rest = materialize(rest.join(per, "bucket"), "unsettled")
+    elements = _elements(_texts(docs, rest.select(F.col("doc_id").alias("id"))), width).dropDuplicates(["doc_id"])
+    more = materialize(_cross_links(rest, elements, floor, least), "links")
     if not more.isEmpty():
         found = components(edges.unionByName(more))
     classes = signed.select("doc_id", "print1", "print2", "units").join(prints, ["print1", "print2"], "left")
@@ -282,6 +316,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class; rows without a doc_id stay, one row per kept id."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("__kept"))
-    one = docs.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept").dropDuplicates(["doc_id"])
+    key = f"__kept_{uuid.uuid4().hex}"  # clashes with no column
+    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias(key))
+    one = docs.join(kept, F.col("doc_id") == F.col(key)).drop(key).dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter("doc_id is null"))
