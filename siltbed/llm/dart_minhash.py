@@ -283,6 +283,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     signed = materialize(sign_documents(docs, width), "signatures")
     # Equal multisets: one of them stands for all.
     prints = signed.filter("units > 0").groupBy("print1", "print2").agg(F.min("doc_id").alias("rep"))
+    prints = materialize(prints, "prints")
     reps = signed.join(prints.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("units > 0")
     reps = materialize(reps.select("doc_id", "bands", "sketch", "units"), "reps")
     sketches = reps.dropDuplicates(["doc_id"]).select("doc_id", "sketch", "units")
