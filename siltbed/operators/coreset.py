@@ -21,6 +21,10 @@ from siltbed.storage import materialize
 
 #: Points that a task holds over all its groups before it emits them.
 HELD = 200_000
+#: Raw points that a task reduces at once, in coreset sizes: fewer reductions, a smaller error.
+GULP = 8
+#: Points that a group of a merging round holds at most, unless two coresets are more.
+ROUND = 50_000
 
 
 def _rows(group: list, node: int, x: np.ndarray, w: np.ndarray, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -44,12 +48,21 @@ def partial_coresets(points: DataFrame, m: int, seed: int = 42, by: list[str] |
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         sketches: dict[tuple, kernel.Sketch] = {}
+        raw: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
         kinds: list[pa.DataType] = []
         flushed = 0
 
+        def swallow(g: tuple) -> None:
+            x, w = (np.concatenate(c) for c in zip(*raw.pop(g), strict=True))
+            s = sketches[g]
+            s.reductions += 1
+            s.insert(*kernel.coreset(x, w, m, kernel.generator(*s.key, 4, s.reductions)))
+
         def flush() -> Iterator[pa.RecordBatch]:
-            for n, (group, s) in enumerate(sketches.items()):
-                yield _rows(list(group), part, *s.extract(), kinds, by)
+            for g in list(raw):
+                swallow(g)
+            for g, s in sketches.items():
+                yield _rows(list(g), part, *s.extract(), kinds, by)
             sketches.clear()
 
         for batch in batches:
@@ -58,14 +71,16 @@ def partial_coresets(points: DataFrame, m: int, seed: int = 42, by: list[str] |
             kinds = [batch.column(c).type for c in by]
             x, w = cost.flat(batch.column("x")), batch.column("w").to_numpy()
             where: dict[tuple, list[int]] = {}
-            keys = zip(*(batch.column(c).to_pylist() for c in by), strict=True) if by else [()] * len(x)
-            for i, g in enumerate(keys):
-                where.setdefault(g, []).append(i)
-            for g, rows in where.items():
+            if by:
+                for i, g in enumerate(zip(*(batch.column(c).to_pylist() for c in by), strict=True)):
+                    where.setdefault(g, []).append(i)
+            for g, rows in where.items() if by else [((), slice(None))]:
                 if g not in sketches:
                     sketches[g] = kernel.Sketch(m, seed, part, len(sketches), flushed)
-                sketches[g].insert(x[rows], w[rows])
-            if by and sum(sum(s.sizes()) for s in sketches.values()) > HELD:
+                raw.setdefault(g, []).append((x[rows], w[rows]))
+                if sum(len(r[1]) for r in raw[g]) >= GULP * m:
+                    swallow(g)
+            if by and sum(sum(s.sizes()) for s in sketches.values()) + sum(len(r[1]) for rs in raw.values() for r in rs) > HELD:
                 yield from flush()
                 flushed += 1
         yield from flush()
@@ -89,15 +104,19 @@ def merge_round(parts: DataFrame, m: int, fan: int, seed: int, stage: int, by: l
     return grouped.groupBy(*by, "node").applyInArrow(reduce, _schema(parts, by))
 
 
-def merged_coreset(points: DataFrame, m: int, seed: int = 42, fan: int = 4, by: list[str] | None = None) -> DataFrame:
-    """(by.., x, w): one coreset of at most ``m`` points per group, of mass equal to the group's."""
-    by = by or []
+def merged_coreset(points: DataFrame, m: int, seed: int = 42, fan: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by.., x, w): one coreset of at most ``m`` points per group, of mass equal to the group's.
+
+    ``fan`` coresets merge at a time; by default as many as :data:`ROUND` points allow, so that
+    few rounds compound their error.
+    """
+    fan = fan or max(2, ROUND // m)
     parts = materialize(partial_coresets(points, m, seed, by), "coresets")
     last, stage = parts.agg(F.max("node")).first()[0], 0
     while last is not None:
         stage += 1
         parts = materialize(merge_round(parts, m, fan, seed, stage, by), "coresets")
-        if last == 0:
+        if last < fan:
             break
         last //= fan
     return parts.drop("node")

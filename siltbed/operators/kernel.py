@@ -96,28 +96,32 @@ def coreset(x: np.ndarray, w: np.ndarray, m: int, rng: np.random.Generator) -> t
         running = np.cumsum(costs[: len(reps)])
         if not running[-1] > 0:
             break
-        cell = draw(costs[: len(reps)], rng.random())
+        u, v = rng.random(2)
+        cell = min(int(running.searchsorted(u * running[-1])), len(reps) - 1)
         a, b = first[cell], last[cell]
         rows = order[a:b]
-        mine = w[rows] * near[rows]
-        if not mine.sum() > 0:
+        held, weight = near[rows], w[rows]
+        share = np.cumsum(weight * held)
+        if not share[-1] > 0:
             costs[cell] = 0.0
             continue
-        new = int(rows[draw(mine, rng.random())])
-        to_new = distances(x[rows], x[new : new + 1])[:, 0]
-        moves = to_new < near[rows]
+        new = int(rows[min(int(share.searchsorted(v * share[-1])), b - a - 1)])
+        gap = x[rows] - x[new]
+        to_new = np.einsum("ij,ij->i", gap, gap)
+        moves = to_new < held
         if not moves.any():  # the point equals its representative, but for rounding
             near[new] = 0.0
-            costs[cell] = w[rows] @ near[rows]
+            costs[cell] = weight @ near[rows]
             continue
-        stay, go = rows[~moves], rows[moves]
-        near[go] = to_new[moves]
-        order[a:b] = np.concatenate((stay, go))
-        last[cell] = a + len(stay)
-        first.append(a + len(stay))
+        stay = ~moves
+        n = int(stay.sum())
+        order[a : a + n], order[a + n : b] = rows[stay], rows[moves]
+        near[rows[moves]] = to_new[moves]
+        last[cell] = a + n
+        first.append(a + n)
         last.append(b)
-        costs[cell] = w[stay] @ near[stay]
-        costs[len(reps)] = w[go] @ near[go]
+        costs[cell] = weight[stay] @ held[stay]
+        costs[len(reps)] = weight[moves] @ to_new[moves]
         reps.append(new)
     mass = np.array([w[order[a:b]].sum() for a, b in zip(first, last, strict=True)])
     return x[reps].copy(), mass

@@ -23,7 +23,7 @@ DIMENSIONS, PARTITIONS, RESTARTS, MAX_ITER, TOL, BASE_SEED = 54, 8, 5, 100, 1e-6
 SEED_STEP = 1_000_003
 
 
-def cluster(points: DataFrame, k: int, m: int | None = None, seed: int = 42, restarts: int = RESTARTS, fan: int = 4) -> Model | None:
+def cluster(points: DataFrame, k: int, m: int | None = None, seed: int = 42, restarts: int = RESTARTS, fan: int | None = None) -> Model | None:
     """Coreset, then k-means++ and Lloyd on it. The model's cost is the full table's; None without points."""
     x, w = coreset.to_arrays(coreset.merged_coreset(points, m or recommended_size(k), seed, fan))
     if not len(x):

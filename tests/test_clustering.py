@@ -254,3 +254,9 @@ def test_small_functions():
     assert [experiments.positive_int(t) for t in ("3", "0", "-1", "x", None)] == [3, None, None, None, None]
     assert experiments.tree_tolerance(8, 2) == pytest.approx(0.4641) and experiments.tree_tolerance(4, 2) == pytest.approx(0.21)
     assert experiments.scale_factor(1, 2) == 2
+
+
+def test_selfcheck():
+    from siltbed.plans import selfcheck
+
+    assert all(ok for _, ok in selfcheck.checks()) and selfcheck.main([]) == 0
