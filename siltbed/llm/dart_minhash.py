@@ -65,7 +65,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def _throw(element: np.ndarray, nth: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """The rank that the nth dart of each element adds to the one before it, and the dart's hash."""
-    h = mix64(element ^ (np.asarray(nth, np.uint64) + np.uint64(1)) * _DART)
+    h = mix64(element ^ (np.atleast_1d(np.asarray(nth, np.uint64)) + np.uint64(1)) * _DART)
     return -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53), mix64(h)
 
 
@@ -254,7 +254,7 @@ def _cross_links(members: DataFrame, elements: DataFrame, floor: float, least: f
                 flat = np.concatenate([element[x] for x in b.tolist()])
                 hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
                 both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
-                for x in b[both >= least * (sizes + len(own) - both)].tolist():
+                for x in b[both / (sizes + len(own) - both) >= least].tolist():
                     if comp[x] != comp[a]:
                         us.append(min(int(ids[a]), int(ids[x])))
                         vs.append(max(int(ids[a]), int(ids[x])))

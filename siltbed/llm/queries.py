@@ -86,5 +86,29 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 
+_REACH = """r(u, c) AS (SELECT {key}, {key} FROM {nodes} UNION SELECT l.v, r.c FROM r JOIN l ON r.u = l.u),
+c AS (SELECT u, min(c) AS c FROM r GROUP BY u)"""
+
+OP3 = f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+f AS (SELECT * FROM e WHERE label IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u),
+{_REACH.format(key="vec_id", nodes="e")}
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, e.vec_id = c.c AS kept FROM e JOIN c ON e.vec_id = c.u LEFT JOIN n ON n.u = e.vec_id
+"""
+
+OP4 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9_a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) ELSE [array_to_string(ws, ' ')] END) AS k FROM w WHERE len(ws) > 0),
+k AS (SELECT doc_id, k, count(*) AS n FROM s GROUP BY doc_id, k),
+t AS (SELECT doc_id, sum(n) AS n FROM k GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, sum(least(a.n, b.n)) AS m FROM k a JOIN k b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT u, v FROM p JOIN t x ON x.doc_id = u JOIN t y ON y.doc_id = v WHERE m::DOUBLE / (x.n + y.n - m)::DOUBLE >= 0.8::DOUBLE),
+{_REACH.format(key="doc_id", nodes="documents")}
+SELECT u AS doc_id, c AS class_id, u = c AS kept FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1}
+    return {"op1_url_filter": OP1, "op3_cover_tree": OP3, "op4_dart_minhash": OP4}
