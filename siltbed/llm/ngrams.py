@@ -108,16 +108,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: in
     """Texts and labels of at most ``max_rows`` labelled documents and ``max_chars`` characters.
 
     Rows are drawn by a hash of ``doc_id``; those of the fold ``held_out``, with a null id, label
-    or text and without a document are left out. A doc_id with several labels has the largest
+    or text and without a document are left out; more than three labels in four without a
+    document make the sample smaller. A doc_id with several labels has the largest
     one; with several texts, the least. Texts come whole: one that no longer fits is passed over.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if held_out is not None:
         known = known.filter(fold(F.col("doc_id")) != held_out)
-    known = known.groupBy("doc_id").agg(F.max(label).alias("y"))
-    lengths = docs.filter("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min(F.length("text")).alias("chars"))
+    known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("y"))
+    # A bounded draw of labels, some of which may have no document, is broadcast to the documents.
+    known = known.orderBy(F.xxhash64(F.lit(7), "__id"), "__id").limit(4 * max_rows)
     order = [F.xxhash64(F.lit(7), "doc_id"), "doc_id"]
-    drawn = known.join(lengths, "doc_id").orderBy(*order).limit(max_rows).collect()
+    drawn = docs.filter("text is not null").select("doc_id", F.length("text").alias("chars")).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
+    drawn = drawn.groupBy("doc_id").agg(F.max("chars").alias("chars"), F.first("y").alias("y")).orderBy(*order).limit(max_rows).collect()
     left, ids = max_chars, []
     for r in drawn:
         if r["chars"] <= left:
