@@ -299,7 +299,7 @@ def _stream(spark: SparkSession, sf_dir: str, on_model=None) -> str:
     for i in range(4):
         features.filter(part == i).select("features").coalesce(1).write.parquet(f"{state}/in/part={i}")
     source = spark.readStream.schema("features array<double>").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{state}/in")
-    query = clustering.run(source, clustering.Params(K, M, restarts=2), on_model, state=f"{state}/state", checkpoint=f"{state}/checkpoint", trigger={"availableNow": True})
+    query = clustering.run(source, clustering.Params(K, vectors.recommended_size(K)), on_model, state=f"{state}/state", checkpoint=f"{state}/checkpoint", trigger={"availableNow": True})
     query.awaitTermination()
     return f"{state}/state"
 
@@ -315,7 +315,7 @@ def stream_vs_batch_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     models: list[lloyd.Model] = []
     _stream(spark, sf_dir, lambda model, batch_id: models.append(model))
     p = events(spark, sf_dir, [])
-    streamed, bounded = cost.cost(p, models[-1].centers), experiments.cluster(p, K, M).cost
+    streamed, bounded = cost.cost(p, models[-1].centers), experiments.cluster(p, K).cost
     return spark.createDataFrame([(bool(streamed <= 1.21 * bounded),)], "ok boolean")
 
 
