@@ -75,14 +75,13 @@ def _darts(element: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray,
     for at in range(0, len(dense), 256):  # few elements with many darts each
         some = dense[at : at + 256]
         most = float(limit[some].max())
-        for first in (0,):
-            n = int(most + 8 * np.sqrt(most) + 16)
-            gap, h = _throw(element[some][:, None], np.arange(first, n)[None])
-            rank = np.cumsum(gap, axis=1)
-            if (rank[:, -1] < limit[some]).any():
-                raise ArithmeticError("more darts than any Poisson process throws")
-            i, j = np.nonzero(rank < limit[some][:, None])
-            yield some[i], rank[i, j], h[i, j]
+        n = int(most + 8 * np.sqrt(most) + 16)
+        gap, h = _throw(element[some][:, None], np.arange(n)[None])
+        rank = np.cumsum(gap, axis=1)
+        if (rank[:, -1] < limit[some]).any():
+            raise ArithmeticError("more darts than any Poisson process throws")
+        i, j = np.nonzero(rank < limit[some][:, None])
+        yield some[i], rank[i, j], h[i, j]
     live = np.flatnonzero(limit <= 16)
     rank, nth = np.zeros(len(live)), 0
     while len(live):

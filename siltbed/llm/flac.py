@@ -225,7 +225,7 @@ def encode(payloads: list[bytes], lpc_order: int = 0) -> list[bytes]:
 def _stream(payload: bytes, frames: list[bytes]) -> bytes:
     sizes = [len(f) for f in frames]
     md5 = hashlib.md5((np.frombuffer(payload, np.uint8) ^ np.uint8(128)).tobytes()).digest()
-    packed = RATE << 44 | 0 << 41 | 7 << 36 | len(payload)
+    packed = RATE << 44 | 7 << 36 | len(payload)
     least, most = min(sizes, default=0), max(sizes, default=0)
     info = struct.pack(">HH", BLOCK, BLOCK) + least.to_bytes(3, "big") + most.to_bytes(3, "big") + packed.to_bytes(8, "big") + md5
     points, at = [], 0
@@ -458,7 +458,6 @@ def decode(streams: list[bytes], verify: bool = True) -> list[list[Block]]:
     """The PCM blocks of every stream; frames are found by seek points, or else one by one."""
     heads = [read_metadata(s) for s in streams]
     out: list[list[Block]] = [[] for _ in streams]
-    base = np.concatenate(([0], np.cumsum([len(s) for s in streams]))).tolist()
     whole = [sum(p[2] for p in h.seek) == h.samples for h in heads]
     # (stream, its next sample, where the frame begins in the stream)
     todo = [(i, p[0], h.first + p[1]) for i, h in enumerate(heads) if whole[i] for p in h.seek]
@@ -469,21 +468,19 @@ def decode(streams: list[bytes], verify: bool = True) -> list[list[Block]]:
             part = todo[at : at + READ_CHUNK // BLOCK]
             at += len(part)
             used = sorted({i for i, _, _ in part})
-            lo, hi = {}, []
-            offset = 0
+            shift, pieces, offset = {}, [], 0
             for i in used:  # of a long stream, only the bytes around these frames
                 mine = [p for s, _, p in part if s == i]
                 a, b = min(mine), min(len(streams[i]), max(mine) + 2 * BLOCK * 5)
-                hi.append(streams[i][a:b])
-                lo[i] = offset - a
+                pieces.append(streams[i][a:b])
+                shift[i] = offset - a
                 offset += b - a
-            got, ends = _decode_frames(b"".join(hi) + bytes(2), [lo[i] + p for i, _, p in part])
+            got, ends = _decode_frames(b"".join(pieces) + bytes(2), [shift[i] + p for i, _, p in part])
             for (i, first, _), x, end in zip(part, got, ends, strict=True):
                 out[i].append(Block(first, (x + 128).astype(np.uint8).tobytes()))
                 if not whole[i] and first + len(x) < heads[i].samples:
-                    later.append((i, first + len(x), end - lo[i]))
+                    later.append((i, first + len(x), end - shift[i]))
         todo = later
-    del base
     for i, h in enumerate(heads):
         out[i].sort(key=lambda b: b.first)
         if verify and h.md5 != bytes(16):
