@@ -23,6 +23,8 @@ from siltbed.storage import materialize
 
 #: Vectors of a block, and of a tree's leaf.
 BLOCK, LEAF = 1024, 32
+#: Trees that a task remembers.
+TREES = 16
 #: Vectors that reach the driver to choose pivots.
 SAMPLE = 10_000
 #: Slack of pruning, far above the error of a chord computed from a dot product.
@@ -250,6 +252,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK) -
     cross = meet.filter("block < block2").join(body, ["label", "dim", "block"]).join(body2, ["label", "dim", "block2"]).select("dim", "ids", "copies", "vectors", "ids2", "copies2", "vectors2")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown: dict[bytes, Node] = {}  # a task meets a block in several pairs
+
+        def tree(ids: np.ndarray, x: np.ndarray, least: float) -> Node:
+            key = ids.tobytes()
+            if key not in grown:
+                if len(grown) >= TREES:
+                    del grown[next(iter(grown))]
+                grown[key] = build(x, least)
+            return grown[key]
+
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda name, kind, r=r, batch=batch: None if (v := batch.column(name)[r].as_py()) is None else np.frombuffer(v, kind)
@@ -258,8 +270,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK) -
                 ids2, copies2, b = get("ids2", "<i8"), get("copies2", "<i8"), get("vectors2", "<f8")
                 b = None if b is None else b.reshape(-1, dim)
                 w = Walk(a, b, copies, copies2, cosine)
-                root = build(a, w.far / 8)
-                w.run(root, root if b is None else build(b, w.far / 8))
+                root = tree(ids, a, w.far / 8)
+                w.run(root, root if b is None else tree(ids2, b, w.far / 8))
                 names = ids if b is None else np.concatenate((ids, ids2))
                 links = w.links_a if b is None else np.concatenate((w.links_a, w.links_b))
                 some = np.flatnonzero(links)
