@@ -10,6 +10,7 @@ farthest points are within it, and opened otherwise.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -254,8 +255,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK) -
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grown: dict[bytes, Node] = {}  # a task meets a block in several pairs
 
-        def tree(ids: np.ndarray, x: np.ndarray, least: float) -> Node:
-            key = ids.tobytes()
+        def tree(x: np.ndarray, least: float) -> Node:
+            key = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
             if key not in grown:
                 if len(grown) >= TREES:
                     del grown[next(iter(grown))]
@@ -270,8 +271,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK) -
                 ids2, copies2, b = get("ids2", "<i8"), get("copies2", "<i8"), get("vectors2", "<f8")
                 b = None if b is None else b.reshape(-1, dim)
                 w = Walk(a, b, copies, copies2, cosine)
-                root = tree(ids, a, w.far / 8)
-                w.run(root, root if b is None else tree(ids2, b, w.far / 8))
+                root = tree(a, w.far / 8)
+                w.run(root, root if b is None else tree(b, w.far / 8))
                 names = ids if b is None else np.concatenate((ids, ids2))
                 links = w.links_a if b is None else np.concatenate((w.links_a, w.links_b))
                 some = np.flatnonzero(links)
