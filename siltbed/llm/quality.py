@@ -57,10 +57,11 @@ def fit(texts: list[str], ratings: np.ndarray, min_docs: int = 4, min_z: float =
         return Model(np.zeros(0, np.int64), np.zeros(0), grades if len(grades) else np.zeros(1, np.int64), np.zeros(0))
     docs, total = ngrams.bucket_sums(texts, y.astype(np.float64), SIZES, False)
     # How far the mean grade with a feature lies from the mean without it, in standard errors.
-    rest, variance = np.maximum(n - docs, 0), y.var() + 1e-12
-    gap = total / np.maximum(docs, 1) - (y.sum() - total) / np.maximum(rest, 1)
-    z = gap / np.sqrt(variance * (1 / np.maximum(docs, 1) + 1 / np.maximum(rest, 1)))
-    chosen = np.flatnonzero((docs >= min_docs) & (rest > 0) & (np.abs(z) >= min_z))
+    seen = np.flatnonzero((docs >= min_docs) & (docs < n))
+    held, total = docs[seen], total[seen]
+    gap = total / held - (y.sum() - total) / (n - held)
+    chosen = seen[np.abs(gap) >= min_z * np.sqrt((y.var() + 1e-12) * (1 / held + 1 / (n - held)))]
+    del docs, seen, held, total, gap
     column = np.full(ngrams.BUCKETS, -1, np.int64)
     column[chosen] = np.arange(len(chosen))
     idx, counts = ngrams.presence(texts, SIZES, False, column >= 0)
@@ -88,7 +89,7 @@ def fit(texts: list[str], ratings: np.ndarray, min_docs: int = 4, min_z: float =
     return Model(chosen, v[:k], grades, unpack(v))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 5000, max_chars: int = 20_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 5000, max_chars: int = 14_000_000) -> Model:
     """Fits on a sample bounded by ``max_rows`` and ``max_chars`` of the rows outside the fold ``held_out``."""
     return fit(*ngrams.training_sample(docs, labels, "quality", held_out, max_rows, max_chars))
 

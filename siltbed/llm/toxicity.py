@@ -47,16 +47,18 @@ def fit(texts: list[str], y: np.ndarray, alpha: float = 0.5, min_docs: int = 4,
     if n1 in (0.0, float(n)):
         return Model(np.zeros(0, np.int64), np.zeros(0), base)
     docs, pos = ngrams.bucket_sums(texts, y, SIZES, True)
-    p, q = pos + alpha, docs - pos + alpha
+    seen = np.flatnonzero(docs >= min_docs)
+    p, q = pos[seen] + alpha, docs[seen] - pos[seen] + alpha
     ratio = np.log(p / (n1 + 2 * alpha)) - np.log(q / (n - n1 + 2 * alpha))
-    z = ratio / np.sqrt(1 / p + 1 / q)
-    chosen = np.flatnonzero((docs >= min_docs) & (np.abs(z) >= min_z))
+    clear = np.abs(ratio / np.sqrt(1 / p + 1 / q)) >= min_z
+    chosen, ratio = seen[clear], ratio[clear]
+    del docs, pos, seen, p, q, clear
     column = np.full(ngrams.BUCKETS, -1, np.int64)
     column[chosen] = np.arange(len(chosen))
     idx, counts = ngrams.presence(texts, SIZES, True, column >= 0)
     row = np.repeat(np.arange(n), counts)
     col = column[idx]
-    x = ratio[chosen][col]
+    x = ratio[col]
     k = len(chosen)
 
     def objective(v: np.ndarray) -> tuple[float, np.ndarray]:
@@ -69,10 +71,10 @@ def fit(texts: list[str], y: np.ndarray, alpha: float = 0.5, min_docs: int = 4,
     solution = minimize(objective, np.append(np.zeros(k), base))
     w, b = solution[:k], solution[k]
     keep = w != 0
-    return Model(chosen[keep], (w * ratio[chosen])[keep], float(b))
+    return Model(chosen[keep], (w * ratio)[keep], float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 5000, max_chars: int = 20_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 5000, max_chars: int = 14_000_000) -> Model:
     """Fits on a sample bounded by ``max_rows`` and ``max_chars`` of the rows outside the fold ``held_out``."""
     return fit(*ngrams.training_sample(docs, labels, "toxic", held_out, max_rows, max_chars))
 
