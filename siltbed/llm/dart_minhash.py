@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,6 +154,10 @@ def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
 
 
+def _keys(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy().reshape(-1, BANDS)
+
+
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The similarity that sketches of bytes estimate, chance agreement taken off."""
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
@@ -223,13 +228,13 @@ def _elements(texts: DataFrame, width: int) -> DataFrame:
 
 def _cross_links(members: DataFrame, elements: DataFrame, floor: float, least: float) -> DataFrame:
     """Links (u, v) that join different components among ``members`` (bucket, band, doc_id, component,
-    sketch, units); every pair of them that shares a bucket is judged.
+    bands, sketch, units, blocks); every pair of them that shares a bucket is judged.
 
     A bucket's members are dealt into blocks of bounded number and size by a hash; each pair of
     blocks is one group of rows and holds what judging its pairs takes: sketches, and the units
     of the texts for those whose sketches agree. No pair is ever a row; a link is one only
     where it joins what the group has not joined yet. A pair that shares several bands is judged
-    in the first alone.
+    in the first alone: the first whose whole keys are equal, as sketches may agree by chance.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,16 +242,15 @@ def _cross_links(members: DataFrame, elements: DataFrame, floor: float, least: f
             ids, comp = (group.column(c).to_numpy() for c in ("doc_id", "component"))
             comp = comp.copy()
             sketch, block = _sketches(group.column("sketch")), group.column("block").to_numpy()
+            keys = _keys(group.column("bands"))
             element = [np.frombuffer(e, "<u8") for e in group.column("elements").to_pylist()]
             i, j, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             us, vs = [], []
             for a in left.tolist():
                 b = right[(comp[right] != comp[a]) & ((ids[right] > ids[a]) if i == j else True)]
-                same = sketch[b] == sketch[a]
-                near = (same.mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= floor if len(b) else np.zeros(0, bool)
-                shared = same[near].reshape(-1, BANDS, ROWS).all(axis=2)
-                b = b[near][shared.argmax(axis=1) == band]
+                b = b[_agree(sketch[b], sketch[a]) >= floor]
+                b = b[(keys[b] == keys[a]).argmax(axis=1) == band]
                 if not len(b):
                     continue
                 own, sizes = element[a], np.array([len(element[x]) for x in b.tolist()])
@@ -263,7 +267,7 @@ def _cross_links(members: DataFrame, elements: DataFrame, floor: float, least: f
     rows = members.join(elements, "doc_id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("bucket", "band", "doc_id", "component", "sketch", "elements", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.select("bucket", "band", "doc_id", "component", "bands", "sketch", "elements", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(kernel, "u long, v long")
 
 
@@ -285,7 +289,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> Data
     prints = materialize(prints, "prints")
     reps = signed.join(prints.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("units > 0")
     reps = materialize(reps.select("doc_id", "bands", "sketch", "units"), "reps")
-    sketches = reps.dropDuplicates(["doc_id"]).select("doc_id", "sketch", "units")
+    sketches = reps.dropDuplicates(["doc_id"]).select("doc_id", "bands", "sketch", "units")
     spread = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(spread.join(shared, "bucket"), "members")
