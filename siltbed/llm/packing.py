@@ -146,8 +146,36 @@ class _Bins:
         return len(self.items) - 1
 
 
-def pack(lengths: list[int], size: int = 1024, passes: int = 3, near: int = 64) -> list[list[int]]:
-    """Sequences (lists of positions in ``lengths``) of at most ``size`` tokens, as few as found."""
+class _Partners:
+    """Where the pieces are, and which sequences changed since a sequence was last searched in vain."""
+
+    def __init__(self, bins: _Bins, lengths: list[int]):
+        self.length = np.array(lengths, np.int64)
+        self.where = np.zeros(len(lengths), np.int64)
+        for b, items in enumerate(bins.items):
+            self.where[items] = b
+        self.fill = np.array(bins.fill, np.int64)
+        self.alive = np.arange(len(lengths))  # no piece of an underfull sequence is missing
+        self.changed: list[int] = []
+        self.seen: dict[int, int] = {}  # how long ``changed`` was after a search in vain
+
+    def renew(self, size: int) -> None:
+        self.alive = self.alive[self.fill[self.where[self.alive]] < size]  # a full sequence stays full
+
+    def of(self, bins: _Bins, source: int) -> np.ndarray:
+        """The pieces that an exchange of ``source`` hasn't been tried with as they are now."""
+        pieces = self.alive
+        if source in self.seen:
+            new = set(self.changed[self.seen[source] :])
+            pieces = np.array([x for b in new if bins.fill[b] < bins.size for x in bins.items[b]], np.int64)
+        return pieces[self.where[pieces] != source]
+
+
+def pack(lengths: list[int], size: int = 1024, passes: int | None = None) -> list[list[int]]:
+    """Sequences (lists of positions in ``lengths``) of at most ``size`` tokens, as few as found.
+
+    The search ends where no sequence can be spared or no move or exchange helps, or after ``passes``.
+    """
     bins = _Bins(size)
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         n = lengths[i]
@@ -156,65 +184,76 @@ def pack(lengths: list[int], size: int = 1024, passes: int = 3, near: int = 64)
             b = bins.open()
         bins.items[b].append(i)
         bins.set_fill(b, bins.fill[b] + n)
-    total, least = sum(lengths), -(-sum(lengths) // size)
-    for _ in range(passes):
-        if len([x for x in bins.items if x]) <= least or total == 0:
-            break
-        if not _search(bins, lengths, near):
-            break
+    least, done = -(-sum(lengths) // size), 0
+    partners = _Partners(bins, lengths)
+    while done != passes and len([x for x in bins.items if x]) > least and _search(bins, lengths, partners):
+        done += 1
     return [x for x in bins.items if x]
 
 
-def _search(bins: _Bins, lengths: list[int], near: int) -> bool:
+def _search(bins: _Bins, lengths: list[int], partners: _Partners) -> bool:
     """One pass over the underfull sequences, emptiest first; whether anything got better."""
     better = False
+    partners.renew(bins.size)
     for _, source in sorted(bins.order, reverse=True):
-        if not 0 < bins.fill[source] < bins.size:
-            continue
-        for i in sorted(bins.items[source], key=lambda i: -lengths[i]):
-            if i in bins.items[source]:
-                better |= _move(bins, lengths, source, i) or _exchange(bins, lengths, source, i, near)
+        while 0 < bins.fill[source] < bins.size and (_move(bins, lengths, partners, source) or _exchange(bins, lengths, partners, source)):
+            better = True
     return better
 
 
-def _shift(bins: _Bins, lengths: list[int], source: int, target: int, out: list[int], back: list[int]) -> None:
+def _shift(bins: _Bins, lengths: list[int], partners: _Partners, source: int, target: int, out: list[int], back: list[int]) -> None:
     """Moves ``out`` from source to target and ``back`` the other way."""
     bins.items[source] = [x for x in bins.items[source] if x not in out] + back
     bins.items[target] = [x for x in bins.items[target] if x not in back] + out
     delta = sum(lengths[x] for x in out) - sum(lengths[x] for x in back)
     bins.set_fill(source, bins.fill[source] - delta)
     bins.set_fill(target, bins.fill[target] + delta)
+    partners.where[out], partners.where[back] = target, source
+    for b in (source, target):
+        partners.fill[b] = bins.fill[b]
+        partners.changed.append(b)
+        partners.seen.pop(b, None)
 
 
-def _gain(fill_source: int, fill_target: int, delta: int) -> int:
+def _gain(fill_source, fill_target, delta):
     """How the sum of squared fills changes when ``delta`` tokens go from source to target."""
     return 2 * delta * (fill_target - fill_source + delta)
 
 
-def _move(bins: _Bins, lengths: list[int], source: int, i: int) -> bool:
-    target = bins.best(lengths[i], source)
-    if target < 0 or _gain(bins.fill[source], bins.fill[target], lengths[i]) <= 0:
-        return False
-    _shift(bins, lengths, source, target, [i], [])
-    return True
-
-
-def _exchange(bins: _Bins, lengths: list[int], source: int, i: int, near: int) -> bool:
-    """The best exchange of piece ``i``, alone or with one of its neighbours, for one shorter piece."""
-    found = (0, -1, [], [])
-    outs = [[i]] + [[i, j] for j in bins.items[source] if j != i]
-    for free, target in bins.order[-near:]:
-        if target == source:
-            continue
-        for out in outs:
-            size = sum(lengths[x] for x in out)
-            for b in bins.items[target]:
-                delta = size - lengths[b]
-                if 0 < delta <= free and (gain := _gain(bins.fill[source], bins.fill[target], delta)) > found[0]:
-                    found = (gain, target, out, [b])
-    if found[1] < 0:
+def _move(bins: _Bins, lengths: list[int], partners: _Partners, source: int) -> bool:
+    """The longest piece that another sequence takes with a gain, to the fullest that does."""
+    for i in sorted(bins.items[source], key=lambda i: -lengths[i]):
+        target = bins.best(lengths[i], source)
+        if target >= 0 and _gain(bins.fill[source], bins.fill[target], lengths[i]) > 0:
+            _shift(bins, lengths, partners, source, target, [i], [])
+            return True
+    return False
+
+
+def _exchange(bins: _Bins, lengths: list[int], partners: _Partners, source: int) -> bool:
+    """The best exchange of one or two pieces for one shorter piece of any underfull sequence."""
+    items, outs = bins.items[source], {}
+    for k, i in enumerate(items):
+        for j in items[:k]:
+            outs.setdefault(lengths[i] + lengths[j], [i, j])
+    outs |= {lengths[i]: [i] for i in items}
+    sizes = np.array(sorted(outs), np.int64)
+    pieces = partners.of(bins, source)
+    length, fill = partners.length[pieces], partners.fill[partners.where[pieces]]
+    some = (length < sizes[-1]) & (length + bins.size - fill >= sizes[0])
+    pieces, length, fill = pieces[some], length[some], fill[some]
+    best, found = 0, None
+    step = max(1, (1 << 18) // max(1, len(pieces)))
+    for at in range(0, len(sizes) if len(pieces) else 0, step):
+        delta = sizes[at : at + step, None] - length
+        gain = np.where((delta > 0) & (delta <= bins.size - fill), _gain(bins.fill[source], fill, delta), 0)
+        k = int(gain.argmax())
+        if gain.flat[k] > best:
+            best, found = int(gain.flat[k]), (int(sizes[at + k // len(pieces)]), int(pieces[k % len(pieces)]))
+    if found is None:
+        partners.seen[source] = len(partners.changed)
         return False
-    _shift(bins, lengths, source, found[1], found[2], found[3])
+    _shift(bins, lengths, partners, source, int(partners.where[found[1]]), outs[found[0]], [found[1]])
     return True
 
 

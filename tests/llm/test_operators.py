@@ -446,6 +446,21 @@ def test_search_empties_bins():
     assert found > 0
 
 
+def test_search_ends_where_nothing_helps():
+    """With many underfull sequences, no move or exchange between any two of them is left."""
+    lengths = np.random.default_rng(1).integers(200, 521, 1500)
+    bins = [b for b in packing.pack(lengths.tolist()) if lengths[b].sum() < 1024]
+    assert len(bins) > 150
+    fill = np.array([lengths[b].sum() for b in bins])
+    target = np.repeat(np.arange(len(bins)), [len(b) + 1 for b in bins])
+    back = np.concatenate([[0, *lengths[b]] for b in bins])  # 0 is a move
+    for source, b in enumerate(bins):
+        for out in [[i] for i in b] + [[i, j] for i in b for j in b if i < j]:
+            delta = lengths[out].sum() - back
+            fits = (delta > 0) & (fill[target] + delta <= 1024) & (target != source) & ((back > 0) | (len(out) == 1))
+            assert not (fits & (delta * (fill[target] - fill[source] + delta) > 0)).any()
+
+
 # 10 -------------------------------------------------------------------------------------------
 
 
