@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from siltbed.llm.batches import text_slices
 
 BLOCK = 4096
+#: The order of the linear predictor that stored documents' frames may take.
+LPC_ORDER = 8
 RATE = 8000
 #: Samples that the encoder and the decoder hold expanded at a time.
 CHUNK, READ_CHUNK = 1 << 19, 3 << 20
@@ -120,6 +122,22 @@ def _lpc(x: np.ndarray, order: int, precision: int = 12) -> tuple[np.ndarray, in
     return np.clip(np.round(a * 2.0**shift), -(1 << precision - 1), (1 << precision - 1) - 1).astype(np.int64), shift
 
 
+def _rice(residual: np.ndarray, order: np.ndarray, owner: np.ndarray, place: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The folded residuals behind each frame's first ``order`` samples, its Rice parameter and its bits of codes."""
+    coded = place >= order.astype(np.int32)[owner]
+    folded = np.where(coded, (residual << np.int32(1)) ^ (residual >> np.int32(31)), np.int32(0))
+    largest = np.maximum.reduceat(folded, begin)
+    rice, bits = np.zeros(len(sizes), np.int64), np.full(len(sizes), 1 << 60)
+    near = np.log2(np.add.reduceat(folded, begin, dtype=np.int64) / np.maximum(sizes - order, 1) + 1).astype(np.int64)
+    least = np.maximum(0, np.ceil(np.log2((largest + 1) / 32))).astype(np.int64)  # keeps codes within a word
+    for step in (-1, 0, 1):
+        k = np.clip(np.maximum(near + step, least), 0, 14)
+        c = np.add.reduceat(folded >> k.astype(np.int32)[owner], begin, dtype=np.int64) + (sizes - order) * (k + 1)
+        better = c < bits
+        rice[better], bits[better] = k[better], c[better]
+    return folded, rice, bits
+
+
 def _encode_frames(x: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, lpc_order: int) -> list[bytes]:
     """Frames of consecutive ``sizes`` of the samples ``x``, without their closing checksums."""
     n_frames, ends = len(sizes), np.cumsum(sizes)
@@ -137,27 +155,24 @@ def _encode_frames(x: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, lpc_or
         order[better], cost[better] = k, c[better]
         if better.any():
             residual = np.where(better[owner], d, residual)
+    folded, rice, bits = _rice(residual, order, owner, place, begin, sizes)
     lpc: dict[int, tuple[np.ndarray, int]] = {}
+    linear = residual.copy() if lpc_order else residual
     for f in range(n_frames if lpc_order else 0):
         s = x[begin[f] : ends[f]]
         if len(s) > 2 * lpc_order and (fit := _lpc(s, lpc_order)):
-            predicted = sum(c * s[lpc_order - 1 - j : len(s) - 1 - j].astype(np.int64) for j, c in enumerate(fit[0])) >> fit[1]
-            r = s[lpc_order:] - predicted
+            r = s[lpc_order:] - (np.convolve(s.astype(np.int64), fit[0])[lpc_order - 1 : len(s) - 1] >> fit[1])
             if np.abs(r).max() < 1 << 15:
                 lpc[f] = fit
-                order[f] = lpc_order
-                residual[begin[f] + lpc_order : ends[f]] = r
-    coded = place >= order.astype(np.int32)[owner]
-    folded = np.where(coded, (residual << np.int32(1)) ^ (residual >> np.int32(31)), np.int32(0))
-    largest = np.maximum.reduceat(folded, begin)
-    rice, bits = np.zeros(n_frames, np.int64), np.full(n_frames, 1 << 60)
-    near = np.log2(np.add.reduceat(folded, begin, dtype=np.int64) / np.maximum(sizes - order, 1) + 1).astype(np.int64)
-    least = np.maximum(0, np.ceil(np.log2((largest + 1) / 32))).astype(np.int64)  # keeps codes within a word
-    for step in (-1, 0, 1):
-        k = np.clip(np.maximum(near + step, least), 0, 14)
-        c = np.add.reduceat(folded >> k.astype(np.int32)[owner], begin, dtype=np.int64) + (sizes - order) * (k + 1)
-        better = c < bits
-        rice[better], bits[better] = k[better], c[better]
+                linear[begin[f] + lpc_order : ends[f]] = r
+    if lpc:  # of both predictors, a frame takes the one that makes it shorter
+        tried = np.zeros(n_frames, bool)
+        tried[list(lpc)] = True
+        folded_l, rice_l, bits_l = _rice(linear, np.where(tried, lpc_order, order), owner, place, begin, sizes)
+        shorter = tried & (bits_l + 20 * lpc_order + 9 < bits + 8 * order)
+        order, rice, bits = np.where(shorter, lpc_order, order), np.where(shorter, rice_l, rice), np.where(shorter, bits_l, bits)
+        folded = np.where(shorter[owner], folded_l, folded)
+        lpc = {f: fit for f, fit in lpc.items() if shorter[f]}
     lo, hi = np.minimum.reduceat(x, begin), np.maximum.reduceat(x, begin)
     constant = lo == hi
     lpc_bits = np.array([9 + 12 * lpc_order if f in lpc else 0 for f in range(n_frames)])
@@ -512,7 +527,7 @@ def store_documents(docs: DataFrame) -> DataFrame:
                 raw = [payload(t) for t in texts]
                 n = [len((t or "").encode("utf-8", "replace")) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array([len(p) for p in raw], pa.int64()), pa.array(encode(raw), pa.binary())],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array([len(p) for p in raw], pa.int64()), pa.array(encode(raw, LPC_ORDER), pa.binary())],
                     names=["doc_id", "n_bytes", "payload_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, "doc_id long, n_bytes long, payload_bytes long, media binary")
@@ -547,7 +562,7 @@ def document_features(docs: DataFrame) -> DataFrame:
                 texts = part.column("text").to_pylist()
                 raw = [payload(t) for t in texts]
                 sizes = [len((t or "").encode("utf-8", "replace")) for t in texts]
-                media = encode(raw)
+                media = encode(raw, LPC_ORDER)
                 del raw
                 read = decode(media)
                 back = [b"".join(b.pcm for b in bs) for bs in read]

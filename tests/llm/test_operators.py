@@ -518,6 +518,20 @@ def test_checksums_by_hand():
     assert flac.coded_number(5) == b"\x05" and flac.coded_number(0x20AC) == "€".encode() and flac.coded_number(0x10FFFF) == "\U0010ffff".encode()
 
 
+def test_documents_take_the_shorter_predictor(spark):
+    """Stored texts hold linear predictors where those are shorter, and no frame is longer for being offered one."""
+    raw = [*signals(), flac.payload("one text " * 2000), flac.payload("x" * 70)]
+    for fixed, linear in zip(flac.encode(raw), flac.encode(raw, flac.LPC_ORDER), strict=True):
+        assert len(linear) <= len(fixed)
+    df = spark.createDataFrame([(1, "Ein Text, der sich ändert. " * 900)], "doc_id long, text string")
+    media = bytes(flac.store_documents(df).first()["media"])
+    head = flac.read_metadata(media)
+    kinds = [media[flac._read_header(media, head.first + p[1])[1]] >> 1 for p in head.seek]
+    assert kinds and all(k == 31 + flac.LPC_ORDER for k in kinds)
+    row = flac.document_features(df).first()
+    assert row["media_bytes"] == len(media) < len(flac.encode([flac.payload("Ein Text, der sich ändert. " * 900)])[0])
+
+
 def _bits(*fields):
     text = "".join(format(v & ((1 << w) - 1), f"0{w}b") if w else "" for v, w in fields)
     return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
