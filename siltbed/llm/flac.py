@@ -260,6 +260,7 @@ class Stream:
     md5: bytes
     first: int
     seek: list[tuple[int, int, int]]  # first sample, byte offset, samples
+    reach: int  # bytes that frames seldom exceed
 
 
 def read_metadata(data: bytes) -> Stream:
@@ -277,7 +278,7 @@ def read_metadata(data: bytes) -> Stream:
     packed = int.from_bytes(info[10:18], "big")
     if packed >> 41 & 7 or packed >> 36 & 31 != 7:
         raise ValueError("only mono streams of 8 bits are read")
-    return Stream(packed & (1 << 36) - 1, packed >> 44, info[18:34], at, seek)
+    return Stream(packed & (1 << 36) - 1, packed >> 44, info[18:34], at, seek, max(int.from_bytes(info[7:10], "big"), 10 * int.from_bytes(info[2:4], "big")))
 
 
 class _Bits:
@@ -469,11 +470,37 @@ class Block:
     pcm: bytes
 
 
+def _decode_part(streams: list[bytes], heads: list[Stream], nexts: list[dict[int, int]], part: list[tuple[int, int, int]]) -> tuple[list[np.ndarray], list[int], dict[int, int]]:
+    """As ``_decode_frames`` for the frames of ``part``, and how far each stream's offsets are shifted."""
+    for bounded in (True, False):
+        shift, pieces, offset, cut = {}, [], 0, False
+        for i in sorted({i for i, _, _ in part}):  # of a long stream, only the bytes around these frames
+            mine = [p for s, _, p in part if s == i]
+            a, b = min(mine), nexts[i].get(max(mine), len(streams[i]))
+            if bounded and not nexts[i] and max(mine) + heads[i].reach < b:
+                b, cut = max(mine) + heads[i].reach, True
+            pieces.append(streams[i][a:b])
+            shift[i] = offset - a
+            offset += b - a
+        try:
+            return *_decode_frames(b"".join(pieces) + bytes(2), [shift[i] + p for i, _, p in part]), shift
+        except (IndexError, ValueError, struct.error):
+            if not cut:
+                raise
+    raise AssertionError("the whole rest was read")
+
+
 def decode(streams: list[bytes], verify: bool = True) -> list[list[Block]]:
-    """The PCM blocks of every stream; frames are found by seek points, or else one by one."""
+    """The PCM blocks of every stream; frames are found by seek points, or else one by one.
+
+    A frame may be of any length: it ends at the next seek point, or else the whole rest of the
+    stream is read where a bounded part of it doesn't do.
+    """
     heads = [read_metadata(s) for s in streams]
     out: list[list[Block]] = [[] for _ in streams]
     whole = [sum(p[2] for p in h.seek) == h.samples for h in heads]
+    offsets = [sorted(p[1] + h.first for p in h.seek) if w else [] for h, w in zip(heads, whole, strict=True)]
+    nexts = [dict(zip(o, [*o[1:], len(s)], strict=False)) for o, s in zip(offsets, streams, strict=True)]
     # (stream, its next sample, where the frame begins in the stream)
     todo = [(i, p[0], h.first + p[1]) for i, h in enumerate(heads) if whole[i] for p in h.seek]
     todo += [(i, 0, h.first) for i, h in enumerate(heads) if not whole[i] and h.samples]
@@ -482,15 +509,7 @@ def decode(streams: list[bytes], verify: bool = True) -> list[list[Block]]:
         while at < len(todo):
             part = todo[at : at + READ_CHUNK // BLOCK]
             at += len(part)
-            used = sorted({i for i, _, _ in part})
-            shift, pieces, offset = {}, [], 0
-            for i in used:  # of a long stream, only the bytes around these frames
-                mine = [p for s, _, p in part if s == i]
-                a, b = min(mine), min(len(streams[i]), max(mine) + 2 * BLOCK * 5)
-                pieces.append(streams[i][a:b])
-                shift[i] = offset - a
-                offset += b - a
-            got, ends = _decode_frames(b"".join(pieces) + bytes(2), [shift[i] + p for i, _, p in part])
+            got, ends, shift = _decode_part(streams, heads, nexts, part)
             for (i, first, _), x, end in zip(part, got, ends, strict=True):
                 out[i].append(Block(first, (x + 128).astype(np.uint8).tobytes()))
                 if not whole[i] and first + len(x) < heads[i].samples:

@@ -555,6 +555,19 @@ def test_partitions_escapes_and_constants_of_other_encoders():
     assert np.frombuffer(flac.decode([stream])[0][0].pcm, np.uint8).astype(int).tolist() == (x + 128).tolist()
 
 
+@pytest.mark.parametrize("block", [65535, 0])
+def test_long_frames_of_other_encoders(block):
+    """Verbatim frames of 65,535 samples; a stream that names a small block size is read as well."""
+    x, body = np.random.default_rng(0).integers(0, 256, 3 * 65535).astype(np.uint8), b""
+    for k in range(3):
+        head = bytes([0xFF, 0xF8, 0x74, 0x02, k]) + (65534).to_bytes(2, "big")
+        frame = head + bytes([flac.crc8(head), 2]) + x[k * 65535 : (k + 1) * 65535].tobytes()
+        body += frame + flac.crc16(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)])).astype(">u2").tobytes()
+    info = block.to_bytes(2, "big") * 2 + bytes(6) + (flac.RATE << 44 | 7 << 36 | len(x)).to_bytes(8, "big") + hashlib.md5(x.tobytes()).digest()
+    stream = b"fLaC\x80\x00\x00\x22" + info + body
+    assert b"".join(b.pcm for b in flac.decode([stream])[0]) == (x ^ 128).tobytes()
+
+
 def test_media_tables(spark):
     df = spark.createDataFrame([(1, "one text " * 2000), (2, None)], "doc_id long, text string")
     media = flac.store_documents(df)
