@@ -260,3 +260,21 @@ def test_selfcheck():
     from siltbed.plans import selfcheck
 
     assert all(ok for _, ok in selfcheck.checks()) and selfcheck.main([]) == 0
+
+
+def test_registered_baseline_is_the_best_of_five(spark, monkeypatch):
+    from siltbed.plans import catalogue
+
+    seeds = []
+
+    class Fit:
+        def __init__(self, seed, **_):
+            seeds.append(seed)
+
+        def fit(self, _):
+            return type("Model", (), {"summary": type("Summary", (), {"trainingCost": 1.0})})
+
+    monkeypatch.setattr(catalogue.experiments, "KMeans", Fit)
+    monkeypatch.setattr(catalogue.experiments, "cluster", lambda *_: type("Model", (), {"cost": 1.0}))
+    monkeypatch.setattr(catalogue, "embeddings", lambda *_: catalogue.sources.from_columns(spark.range(3), ["id"]))
+    assert catalogue.coreset_quality_ok(spark, "").first()["ok"] and len(set(seeds)) == 5
