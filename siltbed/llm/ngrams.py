@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import operator
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltbed.llm.batches import text_slices
+from siltbed.storage import materialize
+
 #: Hash buckets of the features.
 BUCKETS = 1 << 20
+#: Tasks that read the training sample.
+PARTS = 12
 _STEP = np.uint32(0x01000193)
 
 
@@ -50,53 +58,160 @@ def repeat_bucket(text: str) -> int:
     return BUCKETS - 1 - (10 * same // max(1, len(words) - 1))
 
 
-def buckets(text: str | None, sizes: tuple[int, ...], prose: bool, active: np.ndarray | None = None, window: int = 1 << 21) -> np.ndarray:
-    """The buckets of a whole text, with repeats; of ``active`` ones only, if that is given.
+def windows(text: str | None, sizes: tuple[int, ...], prose: bool, window: int = 1 << 21) -> Iterator[np.ndarray]:
+    """The buckets of a whole text, with repeats, part by part.
 
     Without ``prose``, the bucket of its share of repeated words is among them. A text longer
     than ``window`` is read in windows that overlap, so every n-gram is seen.
     """
-    flat, out = np.frombuffer(prepare(text, prose), np.uint8), [np.zeros(0, np.int32)]
+    flat = np.frombuffer(prepare(text, prose), np.uint8)
     for lo in range(0, len(flat), window):
         for _, idx in hashed(flat[lo : lo + window + max(sizes) - 1], sizes):
-            idx = idx[:window]
-            out.append(idx if active is None else idx[active[idx]])
+            yield idx[:window]
     if not prose:
-        idx = np.array([repeat_bucket(text or "")], np.int32)
-        out.append(idx if active is None else idx[active[idx]])
-    return np.concatenate(out)
+        yield np.array([repeat_bucket(text or "")], np.int32)
+
+
+class Distinct:
+    """Finds the distinct buckets of one text after another, in scratch space for every bucket."""
+
+    def __init__(self, sizes: tuple[int, ...], prose: bool, active: np.ndarray | None = None):
+        self.sizes, self.prose, self.active = sizes, prose, active
+        self.stamp, self.seen = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, bool)
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The distinct buckets of a whole text; of ``active`` ones only, if those are given."""
+        out = [np.zeros(0, np.int32)]
+        for idx in windows(text, self.sizes, self.prose):
+            if self.active is not None:
+                idx = idx[self.active[idx]]
+            idx = idx[~self.seen[idx]]
+            at = np.arange(len(idx), dtype=np.int32)
+            self.stamp[idx] = at
+            idx = idx[self.stamp[idx] == at]
+            self.seen[idx] = True
+            out.append(idx)
+        found = np.concatenate(out)
+        self.seen[found] = False
+        return found
+
+
+@dataclass
+class Presence:
+    """The features of every training text: column numbers side by side, and how many each text has."""
+
+    columns: np.ndarray
+    counts: np.ndarray
+
+    def _parts(self, most: int = 1 << 20) -> Iterator[tuple[slice, slice]]:
+        """Runs of texts with about ``most`` columns, and where those are."""
+        ends, at = np.cumsum(self.counts), 0
+        while at < len(ends):
+            base = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+            yield slice(at, to), slice(base, int(ends[to - 1]))
+            at = to
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        """For each text, the sum of its columns' weights."""
+        out = np.zeros(len(self.counts))
+        for texts, some in self._parts():
+            n = self.counts[texts]
+            row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            out[texts] = np.bincount(row, weights=weights[self.columns[some]], minlength=len(n))
+        return out
+
+    def spread(self, values: np.ndarray, width: int) -> np.ndarray:
+        """For each column, the sum of its texts' values."""
+        out = np.zeros(width)
+        for texts, some in self._parts():
+            out += np.bincount(self.columns[some], weights=np.repeat(values[texts], self.counts[texts]), minlength=width)
+        return out
+
 
+def linear_scores(texts: list[str | None], weights: np.ndarray, sizes: tuple[int, ...], prose: bool) -> np.ndarray:
+    """For each whole text, the sum of ``weights`` over its distinct buckets."""
+    found = Distinct(sizes, prose, weights != 0)
+    return np.array([weights[found.of(t)].sum() for t in texts], np.float64)
 
-def distinct(idx: np.ndarray, stamp: np.ndarray) -> np.ndarray:
-    """``idx`` without repeats; ``stamp`` is scratch space for every bucket."""
-    at = np.arange(len(idx), dtype=np.int32)
-    stamp[idx] = at
-    return idx[stamp[idx] == at]
 
+def _numbered(chosen: np.ndarray) -> np.ndarray:
+    """For every bucket, its place in ``chosen``, or -1."""
+    column = np.full(BUCKETS, -1, np.int32)
+    column[chosen] = np.arange(len(chosen), dtype=np.int32)
+    return column
 
-def presence(texts: list[str | None], sizes: tuple[int, ...], prose: bool, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ``active`` buckets of every text, concatenated, and the number of each."""
-    stamp = np.zeros(BUCKETS, np.int32)
-    out = [distinct(buckets(t, sizes, prose, active), stamp) for t in texts]
-    return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.array([len(x) for x in out], np.int64)
 
+class Texts:
+    """Labelled training texts in memory."""
 
-def bucket_sums(texts: list[str | None], y: np.ndarray, sizes: tuple[int, ...], prose: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each bucket, in how many texts it is and the sum of their ``y``; one text is expanded at a time."""
-    stamp, n, total = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for t, value in zip(texts, y.tolist(), strict=True):
-        idx = distinct(buckets(t, sizes, prose), stamp)
-        n[idx] += 1
-        total[idx] += value
-    return n, total
+    def __init__(self, texts: list[str], y: np.ndarray, sizes: tuple[int, ...], prose: bool):
+        self.texts, self.y, self.sizes, self.prose = texts, np.asarray(y, np.int64), sizes, prose
 
+    def sums(self, value: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """For each bucket, in how many texts it is and the sum of their labels' ``value``."""
+        found, n, total = Distinct(self.sizes, self.prose), np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for t, label in zip(self.texts, self.y.tolist(), strict=True):
+            idx = found.of(t)
+            n[idx] += 1
+            total[idx] += value[label]
+        return n, total
 
-def linear_scores(texts: list[str | None], weights: np.ndarray, sizes: tuple[int, ...], prose: bool) -> np.ndarray:
-    """For each whole text, the sum of ``weights`` over its distinct buckets."""
-    active, stamp, out = weights != 0, np.zeros(BUCKETS, np.int32), np.zeros(len(texts))
-    for i, t in enumerate(texts):
-        out[i] = weights[distinct(buckets(t, sizes, prose, active), stamp)].sum()
-    return out
+    def presence(self, chosen: np.ndarray) -> Presence:
+        """The buckets ``chosen`` that each text has."""
+        column = _numbered(chosen)
+        found = Distinct(self.sizes, self.prose, column >= 0)
+        rows = [column[found.of(t)] for t in self.texts]
+        return Presence(np.concatenate([np.zeros(0, np.int32), *rows]), np.array([len(r) for r in rows], np.int64))
+
+
+class Sample:
+    """Labelled training texts as a table (doc_id, text, y); whole texts are read by the executors alone.
+
+    What reaches the driver is the labels, about :data:`PARTS` pairs of bucket counts (packed, a few MB
+    each at most) and each text's chosen features, however long the texts are.
+    """
+
+    def __init__(self, rows: DataFrame, sizes: tuple[int, ...], prose: bool):
+        self.rows, self.sizes, self.prose = rows, sizes, prose
+        known = sorted((r["doc_id"], r["y"]) for r in rows.select("doc_id", "y").collect())
+        self.y = np.array([y for _, y in known], np.int64)
+
+    def sums(self, value: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, prose = self.sizes, self.prose
+
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, n, total = Distinct(sizes, prose), np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int64)
+            for batch in batches:
+                for part in text_slices(batch, "text"):
+                    for t, label in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
+                        idx = found.of(t)
+                        n[idx] += 1
+                        total[idx] += value[label]
+            packed = [pa.array([zlib.compress(a.tobytes(), 1)], pa.binary()) for a in (n, total)]
+            yield pa.RecordBatch.from_arrays(packed, names=["n", "total"])
+
+        n, total = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for r in self.rows.select("text", "y").mapInArrow(kernel, "n binary, total binary").collect():
+            n += np.frombuffer(zlib.decompress(r["n"]), np.int32)
+            total += np.frombuffer(zlib.decompress(r["total"]), np.int64)
+        return n, total
+
+    def presence(self, chosen: np.ndarray) -> Presence:
+        sizes, prose = self.sizes, self.prose
+
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            column = _numbered(chosen)
+            found = Distinct(sizes, prose, column >= 0)
+            for batch in batches:
+                for part in text_slices(batch, "text"):
+                    rows = [column[found.of(t)].astype("<i4").tobytes() for t in part.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "columns"])
+
+        found = self.rows.select("doc_id", "text").mapInArrow(kernel, "doc_id long, columns binary").collect()
+        rows = sorted((r["doc_id"], bytes(r["columns"])) for r in found)
+        counts = np.array([len(c) // 4 for _, c in rows], np.int64)
+        return Presence(np.frombuffer(b"".join(c for _, c in rows), "<i4"), counts)
 
 
 def fold(doc_id: Column) -> Column:
@@ -104,30 +219,23 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(4)).cast("int")
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int | None, max_rows: int, max_chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``max_rows`` labelled documents and ``max_chars`` characters.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int | None, max_rows: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``max_rows`` labelled documents, written to the shared folder.
 
-    Rows are drawn by a hash of ``doc_id``; those of the fold ``held_out``, with a null id, label
-    or text and without a document are left out; more than three labels in four without a
-    document make the sample smaller. A doc_id with several labels has the largest
-    one; with several texts, the least. Texts come whole: one that no longer fits is passed over.
+    Rows are drawn by a hash of ``doc_id`` alone, so a text's length doesn't matter; those of the
+    fold ``held_out``, with a null id, label or text and without a document are left out; more than
+    three labels in four without a document make the sample smaller. A doc_id with several labels
+    has the largest one; with several texts, the least. Texts come whole and stay on the executors.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if held_out is not None:
         known = known.filter(fold(F.col("doc_id")) != held_out)
-    known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("y"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(label).cast("int").alias("y"))
     # A bounded draw of labels, some of which may have no document, is broadcast to the documents.
     known = known.orderBy(F.xxhash64(F.lit(7), "__id"), "__id").limit(4 * max_rows)
-    order = [F.xxhash64(F.lit(7), "doc_id"), "doc_id"]
-    drawn = docs.filter("text is not null").select("doc_id", F.length("text").alias("chars")).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    drawn = drawn.groupBy("doc_id").agg(F.max("chars").alias("chars"), F.first("y").alias("y")).orderBy(*order).limit(max_rows).collect()
-    left, ids = max_chars, []
-    for r in drawn:
-        if r["chars"] <= left:
-            left -= r["chars"]
-            ids.append((r["doc_id"], r["y"]))
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame(ids, "__id long, y int")  # at most max_rows
-    texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy(*order).collect()
-    return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64)
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    drawn = texts.select("doc_id").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
+    drawn = drawn.groupBy("doc_id").agg(F.first("y").alias("y")).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(max_rows)
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in drawn.collect()], "__id long, y int")  # at most max_rows
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return materialize(rows.repartition(PARTS, "doc_id"), "sample")

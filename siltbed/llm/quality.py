@@ -49,24 +49,24 @@ class Model:
         return self.grades[0] + tails @ np.diff(self.grades).astype(np.float64)
 
 
-def fit(texts: list[str], ratings: np.ndarray, min_docs: int = 4, min_z: float = 6.0, ridge: float = 10.0) -> Model:
+def fit(texts: list[str], ratings: np.ndarray, **options) -> Model:
+    """As :func:`fit_sample`, on whole texts in memory."""
+    return fit_sample(ngrams.Texts(texts, ratings, SIZES, False), **options)
+
+
+def fit_sample(sample: ngrams.Texts | ngrams.Sample, min_docs: int = 4, min_z: float = 6.0, ridge: float = 10.0) -> Model:
     """Fits on whole texts with integer ratings. With one grade only there is no threshold."""
-    grades, y = np.unique(np.asarray(ratings, np.int64), return_inverse=True)
+    grades, y = np.unique(sample.y, return_inverse=True)
     n, cuts = len(y), max(0, len(grades) - 1)
     if not cuts:
         return Model(np.zeros(0, np.int64), np.zeros(0), grades if len(grades) else np.zeros(1, np.int64), np.zeros(0))
-    docs, total = ngrams.bucket_sums(texts, y.astype(np.float64), SIZES, False)
+    docs, total = sample.sums({g: i for i, g in enumerate(grades.tolist())})
     # How far the mean grade with a feature lies from the mean without it, in standard errors.
     seen = np.flatnonzero((docs >= min_docs) & (docs < n))
     held, total = docs[seen], total[seen]
     gap = total / held - (y.sum() - total) / (n - held)
     chosen = seen[np.abs(gap) >= min_z * np.sqrt((y.var() + 1e-12) * (1 / held + 1 / (n - held)))]
-    del docs, seen, held, total, gap
-    column = np.full(ngrams.BUCKETS, -1, np.int64)
-    column[chosen] = np.arange(len(chosen))
-    idx, counts = ngrams.presence(texts, SIZES, False, column >= 0)
-    row, col = np.repeat(np.arange(n), counts), column[idx]
-    k = len(chosen)
+    x, k = sample.presence(chosen), len(chosen)
     share = np.cumsum(np.bincount(y, minlength=cuts + 1))[:-1] / n
     first = np.log(share / (1 - share))
     start = np.concatenate((np.zeros(k), first[:1], np.log(np.maximum(np.diff(first), 1e-3))))
@@ -75,12 +75,12 @@ def fit(texts: list[str], ratings: np.ndarray, min_docs: int = 4, min_z: float =
         return v[k] + np.concatenate(([0.0], np.cumsum(np.exp(np.minimum(v[k + 1 :], 50)))))
 
     def objective(v: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = np.bincount(row, weights=v[col], minlength=n)
+        margin = x.dot(v[:k])
         cut = np.concatenate(([-np.inf], unpack(v), [np.inf]))
         hi, lo = _logistic(cut[y + 1] - margin), _logistic(cut[y] - margin)
         p = np.maximum(hi - lo, 1e-12)
         d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        slope = np.bincount(col, weights=(d_hi - d_lo)[row], minlength=k)[:k] + ridge * v[:k]
+        slope = x.spread(d_hi - d_lo, k) + ridge * v[:k]
         d_cut = np.bincount(y, weights=-d_hi, minlength=cuts + 1)[:cuts] + np.bincount(y, weights=d_lo, minlength=cuts + 1)[1:]
         gaps = np.exp(np.minimum(v[k + 1 :], 50)) * (np.cumsum(d_cut[::-1])[::-1][1:])
         return -np.log(p).sum() + ridge * (v[:k] @ v[:k]) / 2, np.concatenate((slope, [d_cut.sum()], gaps))
@@ -89,9 +89,9 @@ def fit(texts: list[str], ratings: np.ndarray, min_docs: int = 4, min_z: float =
     return Model(chosen, v[:k], grades, unpack(v))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 5000, max_chars: int = 14_000_000) -> Model:
-    """Fits on a sample bounded by ``max_rows`` and ``max_chars`` of the rows outside the fold ``held_out``."""
-    return fit(*ngrams.training_sample(docs, labels, "quality", held_out, max_rows, max_chars))
+def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 6000) -> Model:
+    """Fits on a sample of at most ``max_rows`` of the labelled rows outside the fold ``held_out``."""
+    return fit_sample(ngrams.Sample(ngrams.training_sample(docs, labels, "quality", held_out, max_rows), SIZES, False))
 
 
 def grade_documents(docs: DataFrame, model: Model, grade: int = 1, least: float = 0.5, held_out: int = 2) -> DataFrame:

@@ -39,33 +39,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(texts: list[str], y: np.ndarray, alpha: float = 0.5, min_docs: int = 4, min_z: float = 4.0, ridge: float = 1.0) -> Model:
+def fit(texts: list[str], y: np.ndarray, **options) -> Model:
+    """As :func:`fit_sample`, on whole texts in memory."""
+    return fit_sample(ngrams.Texts(texts, y, SIZES, True), **options)
+
+
+def fit_sample(sample: ngrams.Texts | ngrams.Sample, alpha: float = 0.5, min_docs: int = 4, min_z: float = 4.0, ridge: float = 1.0) -> Model:
     """Fits on whole texts with labels 0 and 1. With one class only, the score is its share, smoothed."""
-    y = np.asarray(y).astype(np.float64)
+    y = sample.y.astype(np.float64)
     n1, n = float(y.sum()), len(y)
     base = float(np.log((n1 + alpha) / (n - n1 + alpha)))
     if n1 in (0.0, float(n)):
         return Model(np.zeros(0, np.int64), np.zeros(0), base)
-    docs, pos = ngrams.bucket_sums(texts, y, SIZES, True)
+    docs, pos = sample.sums({v: v for v in np.unique(sample.y).tolist()})
     seen = np.flatnonzero(docs >= min_docs)
     p, q = pos[seen] + alpha, docs[seen] - pos[seen] + alpha
     ratio = np.log(p / (n1 + 2 * alpha)) - np.log(q / (n - n1 + 2 * alpha))
     clear = np.abs(ratio / np.sqrt(1 / p + 1 / q)) >= min_z
     chosen, ratio = seen[clear], ratio[clear]
-    del docs, pos, seen, p, q, clear
-    column = np.full(ngrams.BUCKETS, -1, np.int64)
-    column[chosen] = np.arange(len(chosen))
-    idx, counts = ngrams.presence(texts, SIZES, True, column >= 0)
-    row = np.repeat(np.arange(n), counts)
-    col = column[idx]
-    x = ratio[col]
-    k = len(chosen)
+    x, k = sample.presence(chosen), len(chosen)
 
     def objective(v: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = np.bincount(row, weights=x * v[col], minlength=n) + v[k]
+        margin = x.dot(ratio * v[:k]) + v[k]
         loss = np.logaddexp(0, margin) - y * margin
         err = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y
-        slope = np.bincount(col, weights=x * err[row], minlength=k)[:k] + ridge * v[:k]
+        slope = ratio * x.spread(err, k) + ridge * v[:k]
         return loss.sum() + ridge * (v[:k] @ v[:k]) / 2, np.append(slope, err.sum())
 
     solution = minimize(objective, np.append(np.zeros(k), base))
@@ -74,9 +72,9 @@ def fit(texts: list[str], y: np.ndarray, alpha: float = 0.5, min_docs: int = 4,
     return Model(chosen[keep], (w * ratio)[keep], float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 5000, max_chars: int = 14_000_000) -> Model:
-    """Fits on a sample bounded by ``max_rows`` and ``max_chars`` of the rows outside the fold ``held_out``."""
-    return fit(*ngrams.training_sample(docs, labels, "toxic", held_out, max_rows, max_chars))
+def train(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_rows: int = 6000) -> Model:
+    """Fits on a sample of at most ``max_rows`` of the labelled rows outside the fold ``held_out``."""
+    return fit_sample(ngrams.Sample(ngrams.training_sample(docs, labels, "toxic", held_out, max_rows), SIZES, True))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, held_out: int = 2) -> DataFrame:

@@ -352,12 +352,12 @@ def test_minimizer_finds_the_minimum():
 
 def test_long_texts_score_whole():
     weights = np.zeros(ngrams.BUCKETS)
-    weights[np.unique(ngrams.buckets("needle", (6,), True))] = 1.0
+    weights[ngrams.Distinct((6,), True).of("needle")] = 1.0
     text = "hay " * 300_000 + "needle"
     whole = ngrams.linear_scores([text], weights, (6,), True)[0]
     assert whole == pytest.approx(ngrams.linear_scores(["needle"], weights, (6,), True)[0], abs=1)
-    small = ngrams.buckets("some text that is cut " * 9, (3, 4), True, window=10)
-    assert set(small) == set(ngrams.buckets("some text that is cut " * 9, (3, 4), True))
+    small = np.concatenate(list(ngrams.windows("some text that is cut " * 9, (3, 4), True, window=10)))
+    assert set(small) == set(ngrams.Distinct((3, 4), True).of("some text that is cut " * 9))
 
 
 def labelled(sf, label):
@@ -397,11 +397,38 @@ def test_ordinal_thresholds_are_ordered():
 def test_sample_is_bounded_and_keeps_the_fold_out(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(5, "other"), (None, "x"), (6, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(5, 1), (None, 1), (7, None)], "doc_id long, toxic int")
-    texts, y = ngrams.training_sample(docs, labels, "toxic", 2, 50, 10_000)
-    assert len(texts) == 50 == len(y)
-    ids = [int(t.split()[1]) for t in texts if t.startswith("text")]
-    assert all(zlib.crc32(str(i).encode()) % 4 != 2 for i in ids) and all(v == i % 2 for i, v in zip(ids, y, strict=False) if i not in (5, 7) and len(ids) == 50)
-    assert len(ngrams.training_sample(docs, labels, "toxic", 2, 500, 80)[0]) <= 14
+    rows = ngrams.training_sample(docs, labels, "toxic", 2, 50).collect()
+    assert len(rows) == 50 == len({r["doc_id"] for r in rows})
+    for r in rows:
+        assert zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2
+        assert r["y"] == (1 if r["doc_id"] in (5, 7) else r["doc_id"] % 2) and r["text"] == ("other" if r["doc_id"] == 5 else f"text {r['doc_id']}")
+    every = ngrams.training_sample(docs, labels, "toxic", 2, 5000)
+    assert {r["doc_id"] for r in every.collect()} == {i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2}
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """Texts of 20 million characters are in the sample whole, beside as many short ones as without them."""
+    long = "plain words only " * 1_200_000 + "dreadful"
+    rows = [(i, long if i in (1, 3) else f"dreadful thing {i}" if i % 2 else f"fine thing {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    sample = ngrams.Sample(ngrams.training_sample(docs, labels, "toxic", None, 40), toxicity.SIZES, True)
+    n, total = sample.sums({0: 0, 1: 1})
+    end = ngrams.Distinct((8,), True).of("dreadful")
+    assert len(sample.y) == 40 and (n[end] >= 20).any() and (total[end] == n[end]).any()
+    some = sample.presence(np.sort(end))
+    assert some.counts.sum() >= 20 and len(some.counts) == 40
+
+
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_training_over_a_table_is_training_in_memory(spark, module, label):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "vile", "kind"], 12)) + (" vile!! vile" if i % 3 == 0 else " kind words")) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0) if label == "toxic" else i % 3) for i in range(240)], f"doc_id long, {label} int")
+    one = module.train(docs, labels, None)
+    two = module.fit([t for _, t in rows], labels.toPandas()[label].to_numpy())
+    assert one.buckets.tolist() == two.buckets.tolist() and len(one.buckets) and one.weights == pytest.approx(two.weights, abs=1e-6)
 
 
 # 8 --------------------------------------------------------------------------------------------
