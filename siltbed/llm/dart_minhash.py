@@ -6,10 +6,11 @@ signature's coordinates. Only darts below a rank that suffices to cover all coor
 made, so a signature costs about as much as its text, whatever its length. The earliest dart of
 a coordinate is the same in two texts with the probability of their weighted Jaccard similarity.
 
-Equal multisets collapse first. Texts that share a band meet in a bucket: all its members are
-compared with the bucket's most central one, and only those that are not yet in one component
-are compared with each other, block by block, in kernels that give back links and never pairs.
-Every link is verified on the whole texts. No bucket, candidate list or group is ever capped.
+Equal multisets collapse first, whatever their ids; each is a node with a number of its own. Nodes
+that share a band meet in a bucket: all its members are compared with the bucket's most central
+one, and only those of different components are compared with each other, block by block, in
+kernels that give back links and never pairs. Every link is verified on the whole texts. No
+bucket, candidate list or group is ever capped.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.batches import groups, mix64, shingle_hashes, text_slices, word_hashes
@@ -29,12 +30,13 @@ from siltbed.storage import materialize
 
 BANDS, ROWS = 32, 6
 #: A pair is verified where its signatures agree this much less than the similarity asked for:
-#: over five standard errors of an estimate from BANDS * ROWS coordinates.
+#: over five standard errors of an estimate from BANDS * ROWS coordinates (a pair at 0.8 is missed
+#: with a probability below 1e-6).
 SLACK = 0.15
 #: Members of a bucket, and units of their texts, that are compared at a time.
 BLOCK, BLOCK_UNITS = 256, 1 << 20
-#: Ids up to this number (16 MB) are broadcast to find their texts; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids up to this number (32 MB) are broadcast to find their texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 _DART, _UNIT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -126,8 +128,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def sign_documents(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, print1, print2, units, bands, sketch): the fingerprint of each text's multiset, its
-    band keys and the last byte of each coordinate."""
+    """(doc_id, text_hash, print1, print2, units, bands, sketch): a hash of each text as it is, the
+    fingerprint of its multiset, its band keys and the last byte of each coordinate."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,11 +145,11 @@ def sign_documents(docs: DataFrame, width: int = 5) -> DataFrame:
                 bands = band_keys(sign)
                 sketch = (sign & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *prints, pa.array(counts, pa.int64()), pa.array(list(bands), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary())],
-                    names=["doc_id", "print1", "print2", "units", "bands", "sketch"])
+                    [part.column("doc_id"), part.column("text_hash"), *prints, pa.array(counts, pa.int64()), pa.array(list(bands), pa.list_(pa.int64())), pa.array([r.tobytes() for r in sketch], pa.binary())],
+                    names=["doc_id", "text_hash", "print1", "print2", "units", "bands", "sketch"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    return slim.mapInArrow(kernel, "doc_id long, print1 long, print2 long, units long, bands array<long>, sketch binary")
+    slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").filter("doc_id is not null")
+    return slim.mapInArrow(kernel, "doc_id long, text_hash long, print1 long, print2 long, units long, bands array<long>, sketch binary")
 
 
 def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -172,12 +174,12 @@ def _near(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
                 keep = _agree(_sketches(batch.column("su")), _sketches(batch.column("sv"))) >= floor
                 yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    both = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su")), "u")
-    both = both.join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv")), "v")
+    both = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("su")), "u")
+    both = both.join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("sv")), "v")
     return both.select("u", "v", "su", "sv").mapInArrow(kernel, "u long, v long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, least: float, width: int) -> DataFrame:
+def _verify(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, least: float, width: int) -> DataFrame:
     """The pairs (u, v) whose whole texts are similar to at least ``least``."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,47 +201,75 @@ def _verify(pairs: DataFrame, docs: DataFrame, least: float, width: int) -> Data
                 keep = [similarity(x, y) >= least for x, y in zip(a, b, strict=True)]
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = _texts(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")))
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
-    both = both.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
+    texts = _texts(docs, kinds, pairs.select(F.explode(F.array("u", "v")).alias("node")))
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
+    both = both.join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
     return both.select("u", "v", "tu", "tv").mapInArrow(kernel, "u long, v long")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents ``ids`` (id), read from the corpus once."""
-    ids = materialize(ids.distinct(), "ids")
-    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _texts(docs: DataFrame, kinds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of a text of each of ``nodes`` (node), read from the corpus once."""
+    wanted = kinds.join(nodes.distinct(), "node", "left_semi")
+    wanted = materialize(wanted.select("node", "n", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash")), "wanted")
+    known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
-    return materialize(texts.join(known, "id", "left_semi"), "texts")
+    found = texts.join(known, "id").filter(F.xxhash64("text") == F.col("hash")).select("node", "n", "text")
+    # Only a kind of several rows can find its text in more than one.
+    repeated = found.filter("n > 1").groupBy("node").agg(F.first("text").alias("text"))
+    return materialize(found.filter("n = 1").select("node", "text").unionByName(repeated), "texts")
 
 
 def _elements(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, elements): the sorted units of every text, as bytes."""
+    """(node, elements): the sorted units of every text, as bytes."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 element, counts = units(part.column("text").to_pylist(), width)
                 packed = [np.sort(u).astype("<u8").tobytes() for u in np.split(element, np.cumsum(counts)[:-1])]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], names=["doc_id", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(packed, pa.binary())], names=["node", "elements"])
 
-    return texts.mapInArrow(kernel, "doc_id long, elements binary")
+    return texts.mapInArrow(kernel, "node long, elements binary")
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """``rest`` (bucket, node, component, units, ..) with the ``block`` of each row, the number ``blocks``
+    of its bucket, and from where (``own``) to where (``end``) its component has blocks to itself.
+
+    Buckets whose members are all in one component are left out. A component that would fill half
+    a block has blocks of its own, which need not meet each other; the others share blocks.
+    """
+    per = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("units").alias("size"))
+    per = per.withColumn("need", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_UNITS)))
+    per = per.withColumn("large", (F.col("n") * 2 > BLOCK) | (F.col("size") * 2 > BLOCK_UNITS))
+    small = [F.sum(F.when(~F.col("large"), F.col(c)).otherwise(0)) for c in ("n", "size")]
+    totals = per.groupBy("bucket").agg(
+        F.greatest(F.ceil(small[0] / BLOCK), F.ceil(small[1] / BLOCK_UNITS)).alias("shared"),
+        F.sum(F.when(F.col("large"), F.col("need")).otherwise(0)).alias("more"), F.count("*").alias("components"))
+    totals = totals.filter("components > 1").select("bucket", "shared", (F.col("shared") + F.col("more")).alias("blocks"))
+    before = Window.partitionBy("bucket").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = per.filter("large").join(totals, "bucket").select("bucket", "component", "need", (F.col("shared") + F.coalesce(F.sum("need").over(before), F.lit(0))).alias("own"))
+    rows = rest.join(totals, "bucket").join(large, ["bucket", "component"], "left")
+    block = F.coalesce(F.col("own") + F.pmod(F.xxhash64("node"), "need"), F.pmod(F.xxhash64("node"), "shared"))
+    return rows.select(*rest.columns, *(c.cast("int").alias(n) for c, n in (
+        (block, "block"), (F.col("blocks"), "blocks"), (F.col("own"), "own"), (F.col("own") + F.col("need"), "end"))))
 
 
 def _cross_links(members: DataFrame, elements: DataFrame, floor: float, least: float) -> DataFrame:
-    """Links (u, v) that join different components among ``members`` (bucket, band, doc_id, component,
-    bands, sketch, units, blocks); every pair of them that shares a bucket is judged.
+    """Links (u, v) that join different components among ``members`` (bucket, band, node, component,
+    bands, sketch, units, and the columns of :func:`_blocks`); every pair of them that shares a bucket
+    is judged.
 
-    A bucket's members are dealt into blocks of bounded number and size by a hash; each pair of
-    blocks is one group of rows and holds what judging its pairs takes: sketches, and the units
-    of the texts for those whose sketches agree. No pair is ever a row; a link is one only
+    A bucket's members are in blocks of bounded number and size; each pair of blocks that can hold
+    two components is one group of rows and holds what judging its pairs takes: sketches, and the
+    units of the texts for those whose sketches agree. No pair is ever a row; a link is one only
     where it joins what the group has not joined yet. A pair that shares several bands is judged
     in the first alone: the first whose whole keys are equal, as sketches may agree by chance.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["bucket", "i", "j"]):
-            ids, comp = (group.column(c).to_numpy() for c in ("doc_id", "component"))
+            ids, comp = (group.column(c).to_numpy() for c in ("node", "component"))
             comp = comp.copy()
             sketch, block = _sketches(group.column("sketch")), group.column("block").to_numpy()
             keys = _keys(group.column("bands"))
@@ -264,63 +294,81 @@ def _cross_links(members: DataFrame, elements: DataFrame, floor: float, least: f
                         comp[comp == comp[x]] = comp[a]
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    rows = members.join(elements, "doc_id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("bucket", "band", "doc_id", "component", "bands", "sketch", "elements", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = members.join(elements, "node")
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("own is null or other < own or other >= end")
+    rows = rows.select("bucket", "band", "node", "component", "bands", "sketch", "elements", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(kernel, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """(doc_id, class_id, kept): the class of near copies of every document.
-
-    Texts are near copies where the weighted Jaccard similarity of their shingles of ``width``
-    lower-cased words is at least ``least``; classes are the components of that relation (two
-    texts at the threshold meet in a band with a probability of 1 - 6e-5) and are named by their
-    least doc_id, which is the one that is kept. A text of fewer words is one shingle. Null
-    texts and texts without words are alone. A row per distinct doc_id comes back; one that
-    repeats with different texts is in the least of their classes. Null ids are left out. An
-    empty table gives an empty result. Other columns aren't read.
-    """
+def _classes(docs: DataFrame, least: float, width: int) -> DataFrame:
+    """(doc_id, text_hash, n, class_id, kept) for every distinct text of every doc_id, which stands in ``n`` rows."""
     floor = least - SLACK
     signed = materialize(sign_documents(docs, width), "signatures")
-    # Equal multisets: one of them stands for all.
-    prints = signed.filter("units > 0").groupBy("print1", "print2").agg(F.min("doc_id").alias("rep"))
-    prints = materialize(prints, "prints")
-    reps = signed.join(prints.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("units > 0")
-    reps = materialize(reps.select("doc_id", "bands", "sketch", "units"), "reps")
-    sketches = reps.dropDuplicates(["doc_id"]).select("doc_id", "bands", "sketch", "units")
-    spread = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # Equal multisets have equal signatures; the least (doc_id, text_hash) stands for all.
+    kinds = signed.filter("units > 0").groupBy("print1", "print2").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("n"), F.first("units").alias("units"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    kinds = materialize(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
+    sketches = kinds.select("node", "bands", "sketch", "units")
+    spread = kinds.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("peers")).filter("peers > 1")
     members = materialize(spread.join(shared, "bucket"), "members")
     # The member that shares most buckets with most others leads: a group's original, not a copy of a copy.
-    weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    leaders = members.join(weight, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("leader"))
+    weight = members.groupBy("node").agg(F.sum("peers").alias("weight"))
+    leaders = members.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader"))
     led = materialize(members.join(leaders, "bucket"), "led")
-    stars = led.filter("doc_id <> leader").select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct()
-    edges = materialize(_verify(materialize(_near(stars, sketches, floor), "near"), docs, least, width), "links")
+    stars = led.filter("node <> leader").select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
+    edges = materialize(_verify(materialize(_near(stars, sketches, floor), "near"), kinds, docs, least, width), "links")
     found = components(edges)
     # What is left in a bucket beside its leader, and not in one component yet.
-    rest = led.filter("doc_id <> leader").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    rest = rest.select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rest = rest.join(sketches, "doc_id")
-    per = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("units").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    per = per.filter("lo <> hi").select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_UNITS)).cast("int").alias("blocks"))
-    rest = materialize(rest.join(per, "bucket"), "unsettled")
-    elements = _elements(_texts(docs, rest.select(F.col("doc_id").alias("id"))), width).dropDuplicates(["doc_id"])
+    rest = led.filter("node <> leader").join(found, "node", "left")
+    rest = rest.select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    rest = materialize(_blocks(materialize(rest.join(mixed, "bucket", "left_semi").join(sketches, "node"), "unsettled")), "blocks")
+    elements = _elements(_texts(docs, kinds, rest.select("node")), width)
     more = materialize(_cross_links(rest, elements, floor, least), "links")
     if not more.isEmpty():
         found = components(edges.unionByName(more))
-    classes = signed.select("doc_id", "print1", "print2", "units").join(prints, ["print1", "print2"], "left")
-    classes = classes.withColumn("rep", F.when(F.col("units") > 0, F.col("rep")).otherwise(F.col("doc_id")))
-    classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    classes = classes.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
-    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class; rows without a doc_id stay, one row per kept id."""
-    key = f"__kept_{uuid.uuid4().hex}"  # clashes with no column
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias(key))
-    one = docs.join(kept, F.col("doc_id") == F.col(key)).drop(key).dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    linked = found.join(kinds.select("node", "rep"), "node")
+    leads = linked.groupBy("component").agg(F.min("rep").alias("lead"))
+    linked = linked.join(leads, "component").select("node", "lead")
+    named = kinds.select("node", "print1", "print2", "rep").join(linked, "node", "left").select("print1", "print2", F.coalesce("lead", "rep").alias("lead"))
+    rows = signed.groupBy("doc_id", "text_hash").agg(*(F.first(c).alias(c) for c in ("print1", "print2", "units")), F.count("*").alias("n"))
+    own = F.struct("doc_id", "text_hash")
+    rows = rows.join(named, ["print1", "print2"], "left").withColumn("lead", F.when(F.col("units") > 0, F.col("lead")).otherwise(own))
+    return rows.select("doc_id", "text_hash", "n", F.col("lead.doc_id").alias("class_id"), (F.col("lead") == own).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """(doc_id, class_id, kept): the class of near copies of every document.
+
+    Texts are near copies where the weighted Jaccard similarity of their shingles of ``width``
+    lower-cased words is at least ``least``; classes are the components of that relation (two
+    texts at the threshold meet in a band with a probability of 1 - 6e-5) and are named by their
+    least doc_id, which is the one that is kept. A text of fewer words is one shingle. Null
+    texts and texts without words are alone. A row per distinct doc_id and text comes back: rows
+    that repeat both are one document, a doc_id that repeats with another text is another one, and of
+    two texts of one class and id the one with the lesser hash is kept. Null ids are left out. An
+    empty table gives an empty result. Other columns aren't read.
+    """
+    return _classes(docs, least, width).select("doc_id", "class_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """``docs`` with one document of each class of :func:`near_duplicates`.
+
+    A text that is no near copy stays, whatever other texts share its doc_id. Of rows that repeat a
+    doc_id and text one stays: the one with the least hash of its columns. Rows without a doc_id stay
+    as they are. An empty table gives an empty result.
+    """
+    key, text, n = (f"__{name}_{uuid.uuid4().hex}" for name in ("key", "text", "n"))  # clash with no column
+    kept = _classes(docs, least, width).filter("kept").select(F.col("doc_id").alias(key), F.col("text_hash").alias(text), F.col("n").alias(n))
+    kept = materialize(kept, "kept")
+    own = docs.withColumn(text, F.xxhash64("text"))
+    found = own.join(kept.withColumnRenamed(text, f"{text}_"), (F.col("doc_id").cast("long") == F.col(key)) & (F.col(text) == F.col(f"{text}_")))
+    out = found.filter(F.col(n) == 1).select(*docs.columns)
+    if not kept.filter(F.col(n) > 1).isEmpty():  # else no row repeats
+        row = F.struct(*docs.columns)
+        hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")))
+        several = found.filter(F.col(n) > 1).groupBy(key, text).agg(F.min_by(row, hashed).alias(n)).select(f"{n}.*")
+        out = out.unionByName(several)
+    return out.unionByName(docs.filter("doc_id is null"))

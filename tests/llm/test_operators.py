@@ -249,13 +249,52 @@ def test_every_banded_pair_is_judged(spark):
     texts = [(2 * p + w, element[p, w : w + 10].astype("<u8").tobytes()) for p in banded for w in (0, 1)]
     for p in banded:
         for band in np.flatnonzero(keys[p, 0] == keys[p, 1]).tolist():
-            rows += [(int(keys[p, w, band]), band, 2 * p + w, 2 * p + w, keys[p, w].tolist(), sketch[p, w].tobytes(), 10, 1) for w in (0, 1)]
-    members = spark.createDataFrame(rows, "bucket long, band int, doc_id long, component long, bands array<long>, sketch binary, units long, blocks int")
-    elements = spark.createDataFrame(texts, "doc_id long, elements binary")
-    got = sorted((r["u"], r["v"]) for r in dart_minhash._cross_links(members, elements, 0.65, 0.8).collect())
+            rows += [(int(keys[p, w, band]), band, 2 * p + w, 2 * p + w, keys[p, w].tolist(), sketch[p, w].tobytes(), 10) for w in (0, 1)]
+    members = spark.createDataFrame(rows, "bucket long, band int, node long, component long, bands array<long>, sketch binary, units long")
+    elements = spark.createDataFrame(texts, "node long, elements binary")
+    got = sorted((r["u"], r["v"]) for r in dart_minhash._cross_links(dart_minhash._blocks(members), elements, 0.65, 0.8).collect())
     assert got == [(2 * p, 2 * p + 1) for p in banded] and len(banded) > pairs * 0.99
 
 
+def test_blocks_of_one_component_never_meet(spark, monkeypatch):
+    """Of a bucket with a large component and a stranger, rows are copied for the stranger alone; all pairs of components meet."""
+    monkeypatch.setattr(dart_minhash, "BLOCK", 8)
+    comps = [1] * 400 + [2] * 30 + [1000 + i // 2 for i in range(37)]
+    rows = [(5, i, c, 1) for i, c in enumerate(comps)] + [(6, 900 + i, 7, 1) for i in range(20)]
+    got = dart_minhash._blocks(spark.createDataFrame(rows, "bucket long, node long, component long, units long")).collect()
+    assert {r["bucket"] for r in got} == {5} and max(collections.Counter(r["block"] for r in got).values()) < 40
+    met = {r["node"]: {b for b in range(r["blocks"]) if r["own"] is None or not r["own"] <= b < r["end"]} for r in got}
+    block = {r["node"]: r["block"] for r in got}
+    for a in range(len(comps)):
+        for b in range(a):
+            assert (block[b] in met[a] and block[a] in met[b]) or comps[a] == comps[b]
+    assert not any(block[b] in met[a] for a in range(400) for b in range(400))
+
+
+def test_ids_with_several_texts_lose_none(spark):
+    a, b, c, d, e = (" ".join(f"{p}{i}" for i in range(60)) for p in "abcde")
+    rows = [(1, a, "x"), (5, a + " more", "x"), (5, b, "x"), (7, c, "x"), (7, d, "y"), (7, d, "x"), (9, d.upper(), "x"), (None, a, "x"), (8, None, "x"), (8, "", "x"), (10, e, "z"), (10, e, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    classes = sorted((r["doc_id"], r["class_id"], r["kept"]) for r in dart_minhash.near_duplicates(df).collect())
+    assert classes == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (7, 7, True), (7, 7, True), (9, 7, False), (8, 8, True), (8, 8, True), (10, 10, True)])
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in dart_minhash.drop_near_duplicates(df).collect()))
+    assert kept == sorted([(1, a), (5, b), (7, c), (7, d), (0, a), (8, ""), (8, ""), (10, e)])
+    one, two = ({tuple(r) for r in dart_minhash.drop_near_duplicates(df.repartition(n)).collect()} for n in (1, 6))
+    assert one == two
+
+
+def test_similarity_of_exactly_the_threshold_is_a_link(spark):
+    words = [f"w{i}" for i in range(94)]
+    a, b = " ".join(words[:-9]), " ".join(words[9:])  # 81 shingles each, 72 shared
+    assert jaccard(shingles(a), shingles(b)) == 72 / 90 == 0.8
+    df = spark.createDataFrame([(2, a), (1, b)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, 1)], "u long, v long")
+    for least, n in ((0.8, 1), (0.8001, 0)):
+        kinds = spark.createDataFrame([(0, 1, 2, 0), (1, 1, 1, 0)], "node long, n long, doc_id long, text_hash long").drop("text_hash")
+        kinds = kinds.join(df.select("doc_id", F.xxhash64("text").alias("text_hash")), "doc_id").select("node", "n", F.struct("doc_id", "text_hash").alias("rep"))
+        assert dart_minhash._verify(pairs, kinds, df, least, 5).count() == n
+
+
 # 5 --------------------------------------------------------------------------------------------
 
 
