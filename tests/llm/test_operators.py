@@ -128,6 +128,32 @@ def test_near_vectors_against_brute_force(spark, block):
     assert got == {int(i): (int(n), int(c)) for i, n, c in zip(ids, links, comp, strict=True)} and links.sum() > 100
 
 
+def test_many_more_vectors_than_pivots(spark, monkeypatch):
+    """Cells are split again and again: 4,000 vectors in blocks of 8, four pivots at a time, near copies in a large group, one direction at many lengths."""
+    monkeypatch.setattr(cover_tree, "FAN", 4)
+    monkeypatch.setattr(cover_tree, "SAMPLE", 64)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 6))
+    x[1500:2500] = x[7] + rng.normal(0, 0.01, (1000, 6))
+    x[2500:2600] = x[8] * rng.uniform(0.5, 2, (100, 1))
+    labels, ids = np.where(np.arange(4000) % 5 == 0, 2, 1), np.arange(4000)
+    df = spark.createDataFrame([(int(i), v.tolist(), int(lb)) for i, v, lb in zip(ids, x, labels, strict=True)], "vec_id long, embedding array<double>, label int")
+    links, comp = brute_links(x, labels, ids)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_vectors(df, block=8).collect()}
+    assert got == {int(i): (int(n), int(c)) for i, n, c in zip(ids, links, comp, strict=True)}
+
+
+def test_links_of_repeated_ids_and_ties(spark):
+    """Rows that repeat a vec_id under another label are vectors of their own; a cosine of exactly the threshold links."""
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (1, [0.0, 1.0], 2), (3, [5.0, 1.0], 2), (4, [3.0, 4.0], 3), (5, [1.0, 0.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in cover_tree.near_vectors(df).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5)]
+    exact = float(cover_tree.unit(np.array([[3.0, 4.0]]))[0] @ np.array([1.0, 0.0]))
+    got = {r["vec_id"]: r["n_links"] for r in cover_tree.near_vectors(df.filter("label = 3"), exact).collect()}
+    assert got == {4: 1, 5: 1}
+
+
 def test_cover_tree_levels():
     x = cover_tree.unit(np.random.default_rng(0).normal(size=(300, 3)))
     todo = [cover_tree.build(x, 0.01, 4)]
