@@ -8,16 +8,18 @@ remains is filled with documents in a seeded order.
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.operators.ranking import ranked
 from siltbed.storage import materialize
 
-#: Word rows that a cell of the seeded order should hold.
-CELL_ROWS = 2000
+#: Rows that a cell of a source's seeded order should hold, and the most cells that a source has.
+CELL_ROWS, CELLS = 2000, 1 << 20
+#: Up to this number of sources (about 10 MB), their plan is broadcast; more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -25,25 +27,31 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def water_fill(sizes: list[int], weights: list[float], max_epochs: int = 3) -> list[float]:
-    """Targets that sum to ``sum(sizes)``, in proportion to ``weights`` where no clamp holds them.
+def seeded(seed: int, *columns: Column) -> Column:
+    """60 bits of the md5 of the seed and the columns as text, joined by ``|``; nulls are passed over."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(c.cast("string") for c in columns)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
-    A target never exceeds ``max_epochs`` times its size; a source of size 0 gets 0.
+
+def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
+    """``sources`` (words, weight, ..) with ``target``: shares of all words in proportion to ``weight``.
+
+    A target never exceeds ``max_epochs`` times its source's words. Sources that would are clamped
+    there, and the excess is dealt to the others by weight, until none is above its clamp; every
+    round is one sum over the sources, of which only the totals reach the driver.
     """
-    total, caps = sum(sizes), [max_epochs * s for s in sizes]
-    # The clamped sources are those with the least clamp per weight: a prefix of this order.
-    order = sorted(range(len(sizes)), key=lambda i: (caps[i] / weights[i], i))
-    targets, left, weight = [0.0] * len(sizes), total, sum(weights)
-    for k, i in enumerate(order):
-        if caps[i] * weight < left * weights[i]:
-            targets[i] = float(caps[i])
-            left -= caps[i]
-            weight -= weights[i]
-            continue
-        for j in order[k:]:
-            targets[j] = left * weights[j] / weight
-        break
-    return targets
+    exact = "decimal(19,0)"
+    cap = (F.col("words") * max_epochs).cast(exact)
+    free = F.lit(True)
+    while True:
+        sums = [F.coalesce(F.sum(F.when(c, v).otherwise(0)), F.lit(0)) for c, v in ((F.lit(True), F.col("words")), (~free, F.col("words") * max_epochs), (free, F.col("weight")))]
+        total, clamped, weight = sources.agg(*sums).first()
+        left = F.lit(total - clamped).cast(exact)
+        now = cap * F.lit(weight).cast(exact) >= left * F.col("weight").cast(exact)
+        if sources.filter(free & ~now).isEmpty():
+            share = F.lit(total - clamped) * F.col("weight") / F.lit(max(1, weight))
+            return sources.withColumn("target", F.when(free, share).otherwise((F.col("words") * max_epochs).cast("double")))
+        free = free & now
 
 
 def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 42, whole: bool = False) -> DataFrame:
@@ -57,31 +65,32 @@ def mix_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_epoch
     Null and empty texts have size 0 and are taken 0 times in words. Rows that repeat a doc_id
     count one by one. An empty table gives an empty result. Other columns aren't read.
 
-    One row per source reaches the driver; documents are ordered cell by cell, and only the one
-    cell of each source in which its fraction ends is ordered row by row.
+    Sources stay a table: only totals reach the driver. Documents are ordered cell by cell, and only
+    the one cell of each source in which its fraction ends is ordered row by row.
     """
-    spark = docs.sparkSession
     slim = materialize(docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix")
-    stats = sorted(
-        ((r["source"], r["n"], r["words"]) for r in slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()),
-        key=lambda r: (r[0] is None, r[0] or ""))
-    weights = [cycle[i % len(cycle)] for i in range(len(stats))]
-    rows = []
-    for (source, n, words), target in zip(stats, water_fill([s[2] for s in stats], weights, max_epochs), strict=True):
-        goal = round(target)
-        epochs, rest = divmod(goal, words) if words else (0, 0)
-        cells = 1 << max(0, math.ceil(math.log2(max(1, n / CELL_ROWS))))
-        rows.append((source, words, target, epochs, rest, cells))
-    plan = spark.createDataFrame(rows, "src string, source_size long, target double, epochs long, rest long, cells long")
-    plan = F.broadcast(plan) if len(rows) <= 100_000 else plan
+        "doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("h", seeded(seed, F.col("doc_id"), F.col("size"))), "mix")
+    stats = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    stats = ranked(stats.withColumn("last", F.col("source").isNull()), ["last", "source"])
+    weights = F.array(*[F.lit(w).cast("long") for w in cycle])
+    stats = materialize(stats.withColumn("weight", F.get(weights, (F.col("rank") % len(cycle)).cast("int"))), "sources")
+    goal = F.bround("target").cast("long")
+    wanted = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / CELL_ROWS))).cast("long")
+    plan = water_fill(stats, max_epochs).select(
+        F.col("source").alias("src"), F.col("words").alias("source_size"), "target",
+        F.when(F.col("words") > 0, F.floor(goal / F.col("words"))).otherwise(0).alias("epochs"),
+        F.when(F.col("words") > 0, goal % F.col("words")).otherwise(0).alias("rest"),
+        F.least(F.lit(CELLS), F.greatest(F.lit(1), wanted)).alias("cells"))
+    plan = materialize(plan, "plan")
+    few = plan.count() <= BROADCAST_SOURCES
+    plan = F.broadcast(plan) if few else plan
     located = slim.join(plan, F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("cell", F.pmod("h", "cells"))
     # Where each source's fraction ends: the cell whose running sum first reaches it.
     per_cell = located.filter("rest > 0").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     running = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     ends = per_cell.withColumn("upto", F.sum("words").over(running)).filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
     ends = ends.select(F.col("source").alias("src"), F.col("cell").alias("end_cell"), (F.col("rest") - F.col("upto") + F.col("words")).alias("missing"))
-    ends = F.broadcast(ends) if len(rows) <= 100_000 else ends
+    ends = F.broadcast(ends) if few else ends
     placed = located.join(ends, F.col("source").eqNullSafe(F.col("src")), "left").drop("src")
     base = F.col("epochs") * F.col("size")
     clear = placed.filter("end_cell is null or cell <> end_cell").withColumn("taken", base + F.when(F.col("cell") < F.col("end_cell"), F.col("size")).otherwise(0))

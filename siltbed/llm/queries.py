@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltbed.llm import cover_tree, dart_minhash, flac, mixing, packing, quality, sharding, toxicity, url_filter, warc
 from siltbed.storage import table
@@ -46,7 +47,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.response_records(table(spark, sf_dir, "pages"))).drop("record")
+    out = warc.derivatives(warc.response_records(table(spark, sf_dir, "pages")))
+    return out.withColumn("record_bytes", F.length("record").cast("long")).withColumn("record_sha1", F.sha1("record")).drop("record")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,5 +112,23 @@ SELECT u AS doc_id, c AS class_id, u = c AS kept FROM c
 """
 
 
+OP5 = """
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+h AS (SELECT *, ('0x' || substr(md5(concat_ws('|', '42', doc_id::VARCHAR, size::VARCHAR)), 1, 15))::BIGINT AS h FROM d),
+s AS (SELECT source, count(*) AS n, sum(size)::BIGINT AS words, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * words::DOUBLE / w, source NULLS LAST) AS k, (sum(words) OVER ())::BIGINT AS total FROM s),
+l AS (SELECT *, total - coalesce(sum(3 * words) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spare,
+      sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight FROM o),
+f AS (SELECT min(k) AS k FROM l WHERE 3 * words * weight >= spare * w),
+t AS (SELECT l.source, l.n, l.words, CASE WHEN l.k < f.k THEN (3 * l.words)::DOUBLE ELSE (e.spare * l.w)::DOUBLE / e.weight::DOUBLE END AS target
+      FROM l, f JOIN l e ON e.k = f.k),
+g AS (SELECT *, round_even(target, 0)::BIGINT AS goal, least(1048576, greatest(1, pow(2, ceil(log2(n / 2000.0)))))::BIGINT AS cells FROM t),
+r AS (SELECT h.doc_id, h.size, g.words AS source_size, g.target, g.goal,
+      coalesce(sum(h.size) OVER (PARTITION BY h.source ORDER BY h.h % g.cells, h.h, h.doc_id NULLS FIRST, h.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+      FROM h JOIN g ON h.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, (CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size * size + greatest(0, least(size, goal % source_size - earlier)) END)::BIGINT AS taken FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op3_cover_tree": OP3, "op4_dart_minhash": OP4}
+    return {"op1_url_filter": OP1, "op5_mixing": OP5, "op3_cover_tree": OP3, "op4_dart_minhash": OP4}
