@@ -203,7 +203,7 @@ def derive(record: bytes) -> tuple[list[tuple[str, str]], list[Derivative]]:
     text, title, links = read_html(http.text())
     ids = {kind: record_id(kind, source) for kind in ("metadata", "conversion")}
     meta = {
-        "warc": dict(headers),
+        "warc": [list(h) for h in headers],
         "http": {"status": http.status, "headers": [list(h) for h in http.headers]},
         "payload": {"digest": digest(http.payload), "length": len(http.payload)},
         "html": {"title": title, "links": links},
@@ -217,7 +217,11 @@ def derive(record: bytes) -> tuple[list[tuple[str, str]], list[Derivative]]:
 
 
 def response_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """(key, record): a response record for every row. Null urls give no target, null pages no payload."""
+    """(key, record): a response record for every row.
+
+    Null urls give no target, null and empty pages no payload; null keys stay null. Repeated rows give
+    equal records. An empty table gives an empty result. Other columns aren't read.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
