@@ -537,7 +537,11 @@ def feature(blocks: list[Block], rate: int = RATE) -> str:
 
 
 def store_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, media): every whole text as a FLAC stream."""
+    """(doc_id, n_bytes, payload_bytes, media): every whole text as a FLAC stream.
+
+    Null texts are stored as empty ones: 64 bytes 0. Equal texts give equal streams; repeated rows
+    stay, null ids stay null. An empty table gives an empty result. Other columns aren't read.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -553,7 +557,12 @@ def store_documents(docs: DataFrame) -> DataFrame:
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """(doc_id, block, first_sample, samples, pcm) of a table of streams (doc_id, media)."""
+    """(doc_id, block, first_sample, samples, pcm) of a table of streams (doc_id, media).
+
+    Null streams and streams without samples have no blocks; repeated rows have theirs each, null ids
+    stay null. An empty table gives an empty result. A stream that is damaged, or isn't mono of 8
+    bits, fails the task.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -570,6 +579,9 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 def document_features(docs: DataFrame) -> DataFrame:
     """One row per document with the sizes and digests of its stream, read back from its bytes.
 
+    ``block_samples`` and ``block_offsets`` are its seek points: the first sample of every block and
+    the byte where the block's frame begins in the stream.
+
     Null texts are stored as empty ones: 64 bytes 0. Equal texts have equal values; repeated rows
     stay, null ids stay null. An empty table gives an empty result. Other columns aren't read. A
     wrong checksum fails the task rather than giving a row.
@@ -583,14 +595,15 @@ def document_features(docs: DataFrame) -> DataFrame:
                 sizes = [len((t or "").encode("utf-8", "replace")) for t in texts]
                 media = encode(raw, LPC_ORDER)
                 del raw
-                read = decode(media)
+                read, heads = decode(media), [read_metadata(m) for m in media]
                 back = [b"".join(b.pcm for b in bs) for bs in read]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([len(b) for b in back], pa.int64()),
                      pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([zlib.crc32(b[-64:]) for b in back], pa.int64()),
                      pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                     pa.array([feature(bs) for bs in read])],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                     pa.array([feature(bs) for bs in read]), pa.array([[p[0] for p in h.seek] for h in heads], pa.list_(pa.int64())),
+                     pa.array([[h.first + p[1] for p in h.seek] for h in heads], pa.list_(pa.int64()))],
+                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "block_samples", "block_offsets"])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, block_samples array<long>, block_offsets array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, schema)
