@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.batches import groups
-from siltbed.llm.components import components
+from siltbed.llm.components import components, lookup
 from siltbed.storage import materialize
 
 #: Vectors of a block, and of a tree's leaf.
@@ -341,7 +341,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK) -
     group = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(bridges))
     linked = group.join(kinds.select("node", "rep"), "node")
     names = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = linked.join(names, "component").select("node", "component_id")
+    linked = lookup(linked, names, ["component"], "node").select("node", "component_id")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     kinds = kinds.join(sums, "node", "left").join(linked, "node", "left")
     kinds = kinds.select("label", "dim", "x", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.batches import groups, mix64, shingle_hashes, text_slices, word_hashes
-from siltbed.llm.components import components
+from siltbed.llm.components import components, lookup
 from siltbed.storage import materialize
 
 BANDS, ROWS = 32, 6
@@ -249,7 +249,7 @@ def _blocks(rest: DataFrame) -> DataFrame:
     totals = totals.filter("components > 1").select("bucket", "shared", (F.col("shared") + F.col("more")).alias("blocks"))
     before = Window.partitionBy("bucket").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
     large = per.filter("large").join(totals, "bucket").select("bucket", "component", "need", (F.col("shared") + F.coalesce(F.sum("need").over(before), F.lit(0))).alias("own"))
-    rows = rest.join(totals, "bucket").join(large, ["bucket", "component"], "left")
+    rows = lookup(lookup(rest, totals, ["bucket"], "node"), large, ["bucket", "component"], "node", "left")
     block = F.coalesce(F.col("own") + F.pmod(F.xxhash64("node"), "need"), F.pmod(F.xxhash64("node"), "shared"))
     return rows.select(*rest.columns, *(c.cast("int").alias(n) for c, n in (
         (block, "block"), (F.col("blocks"), "blocks"), (F.col("own"), "own"), (F.col("own") + F.col("need"), "end"))))
@@ -323,14 +323,14 @@ def _classes(docs: DataFrame, least: float, width: int) -> DataFrame:
     rest = led.filter("node <> leader").join(found, "node", "left")
     rest = rest.select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = materialize(_blocks(materialize(rest.join(mixed, "bucket", "left_semi").join(sketches, "node"), "unsettled")), "blocks")
+    rest = materialize(_blocks(materialize(lookup(rest, mixed, ["bucket"], "node").join(sketches, "node"), "unsettled")), "blocks")
     elements = _elements(_texts(docs, kinds, rest.select("node")), width)
     more = materialize(_cross_links(rest, elements, floor, least), "links")
     if not more.isEmpty():
         found = components(edges.unionByName(more))
     linked = found.join(kinds.select("node", "rep"), "node")
     leads = linked.groupBy("component").agg(F.min("rep").alias("lead"))
-    linked = linked.join(leads, "component").select("node", "lead")
+    linked = lookup(linked, leads, ["component"], "node").select("node", "lead")
     named = kinds.select("node", "print1", "print2", "rep").join(linked, "node", "left").select("print1", "print2", F.coalesce("lead", "rep").alias("lead"))
     rows = signed.groupBy("doc_id", "text_hash").agg(*(F.first(c).alias(c) for c in ("print1", "print2", "units")), F.count("*").alias("n"))
     own = F.struct("doc_id", "text_hash")
