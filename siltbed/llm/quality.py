@@ -121,7 +121,8 @@ def select_quality(docs: DataFrame, model: Model, grade: int = 1, least: float =
     """The rows of ``docs`` whose grade is at least ``grade`` with probability ``least``, unchanged.
 
     A model that knows no grade as high keeps nothing less than it was taught: with a single
-    training grade every row has that grade.
+    training grade every row has that grade. Null and empty texts are graded as texts without
+    features, repeated rows alike. An empty table gives an empty result.
     """
     at = int(np.searchsorted(model.grades[1:], grade))
 

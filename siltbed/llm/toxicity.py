@@ -97,7 +97,11 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, held_
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``, unchanged."""
+    """The rows of ``docs`` whose text scores below ``threshold``, unchanged.
+
+    Null and empty texts score as texts without features; repeated rows stay or go together. An empty
+    table gives an empty result. Columns other than the text aren't looked at.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = model.dense()

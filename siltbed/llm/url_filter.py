@@ -131,7 +131,8 @@ def filter_urls(df: DataFrame, rules: list[Rule], key: str = "page_id", url: str
 
     The longest fitting rule wins; of equally long ones, the one that is first in ``rules``.
     Null urls and those without ``://`` have an empty host and path and fit no rule. Repeated
-    rows stay; other columns, whatever their names, are not read. The rules are parameters of
+    rows stay, an empty table gives an empty result, urls of any length are read whole; other
+    columns, whatever their names, are not read. The rules are parameters of
     bounded number and travel with the code; there is no shuffle.
     """
     ranked = sorted(range(len(rules)), key=lambda i: (-len(rules[i].name), i))

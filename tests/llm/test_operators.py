@@ -324,23 +324,29 @@ def test_similarity_of_exactly_the_threshold_is_a_link(spark):
 # 5 --------------------------------------------------------------------------------------------
 
 
-def test_water_fill():
-    assert mixing.water_fill([10, 10, 10], [1, 1, 1]) == [10, 10, 10]
-    assert mixing.water_fill([1, 100, 99], [2, 1, 1]) == [3, 98.5, 98.5]
-    assert mixing.water_fill([0, 0], [1, 2]) == [0, 0] and mixing.water_fill([], []) == []
-
-
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12), st.integers(1, 5))
-def test_water_fill_is_the_fixed_point(sizes, cap):
-    weights = [i % 3 + 1 for i in range(len(sizes))]
-    t = mixing.water_fill(sizes, weights, cap)
-    assert sum(t) == pytest.approx(sum(sizes))
-    free = [x / w for x, w, s in zip(t, weights, sizes, strict=True) if x < cap * s - 1e-9]
-    assert all(x <= cap * s + 1e-9 for x, s in zip(t, sizes, strict=True))
-    if free:
-        level = max(free)
-        assert all(x / w <= level + 1e-6 for x, w in zip(t, weights, strict=True)) and min(free) == pytest.approx(level)
+def filled(sizes, weights, cap):
+    """Targets by clamping the source with the least clamp per weight first, one at a time."""
+    left, targets, todo = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
+    while todo:
+        i = min(todo, key=lambda i: (cap * sizes[i] / weights[i], i))
+        weight = sum(weights[j] for j in todo)
+        if cap * sizes[i] * weight >= left * weights[i]:
+            return [left * weights[j] / weight if j in todo else t for j, t in enumerate(targets)]
+        targets[i] = float(cap * sizes[i])
+        left -= cap * sizes[i]
+        todo.remove(i)
+    return targets
+
+
+def test_water_fill(spark):
+    rng = np.random.default_rng(2)
+    cases = [([10, 10, 10], 3), ([1, 100, 99], 3), ([0, 0], 3), ([7], 1)] + [([int(v) for v in rng.integers(0, 10 ** int(rng.integers(1, 6)), int(rng.integers(1, 30)))], int(rng.integers(1, 5))) for _ in range(6)]
+    for sizes, cap in cases:
+        weights = [i % 3 + 1 for i in range(len(sizes))]
+        rows = spark.createDataFrame([(i, s, w) for i, (s, w) in enumerate(zip(sizes, weights, strict=True))], "i int, words long, weight long")
+        got = [r["target"] for r in mixing.water_fill(rows, cap).orderBy("i").collect()]
+        assert got == pytest.approx(filled(sizes, weights, cap)) and sum(got) == pytest.approx(sum(sizes))
+        assert all(t <= cap * s + 1e-9 for t, s in zip(got, sizes, strict=True))
 
 
 @pytest.mark.parametrize("whole", [False, True])
@@ -358,6 +364,18 @@ def test_mix_takes_its_targets(spark, whole):
     assert out.exceptAll(again).count() == 0
 
 
+def test_many_sources_and_ties_mix_alike(spark, monkeypatch):
+    """Plans that are joined by shuffle, cells of few rows and equal rows give what one sorted list gives."""
+    rows = [(i % 50, " ".join(["w"] * (i % 7)), f"s{i % 9}" if i % 9 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plain = sorted(map(tuple, mixing.mix_documents(df).collect()), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix_documents(df).collect()), key=str) == plain
+    monkeypatch.setattr(mixing, "CELL_ROWS", 10)
+    for r in mixing.mix_documents(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert r["taken"] == round(r["target"])
+
+
 def test_words_are_counted_as_defined(spark):
     texts = [" a\tb\nc ", "a b c", "\x0b\x0c", "", None, "é è"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.word_count(F.col("t"))).collect()]
@@ -384,6 +402,7 @@ def test_derivatives_are_linked():
     import json
 
     body = json.loads(meta.block)
+    assert body["warc"] == [list(h) for h in headers]
     assert body["html"] == {"title": "A & B", "links": [{"path": "a@href", "url": "/x?a=1&b=2"}, {"path": "img@src", "url": "i.png"}]}
     assert body["payload"]["digest"] == warc.digest(PAGE.encode()) == warc.first(headers, "WARC-Payload-Digest") and body["conversion"] == warc.first(text.headers, "WARC-Record-ID")
     records = [source, *(d.record for d in made)]
@@ -391,6 +410,15 @@ def test_derivatives_are_linked():
         assert [warc.first(h, "WARC-Type") for h, _ in warc.read_archive(data)] == ["response", "metadata", "conversion"]
 
 
+def test_repeated_headers_are_kept():
+    import json
+
+    twice = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>")]
+    meta = warc.derive(warc.serialize(twice, b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n\r\nhi"))[1][0]
+    body = json.loads(meta.block)
+    assert body["warc"][:4] == [list(h) for h in twice] and body["http"]["headers"] == [["Set-Cookie", "a"], ["Set-Cookie", "b"]]
+
+
 def test_codings_and_broken_records():
     import gzip
 
