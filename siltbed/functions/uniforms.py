@@ -17,3 +17,14 @@ def uniform_column(seed: int, stage: str, n: Column) -> Column:
     """The same numbers for a column of counters."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(stage), n.cast("string")).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+class Replay:
+    """The uniforms of a stage one after another, where a kernel asks a generator for them."""
+
+    def __init__(self, seed: int, stage: str):
+        self.seed, self.stage, self.n = seed, stage, 0
+
+    def random(self) -> float:
+        self.n += 1
+        return uniform(self.seed, self.stage, self.n - 1)

@@ -6,6 +6,8 @@ from a generator keyed by a tuple of counters, so a repeated task draws the same
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from siltbed.operators.cost import distances
@@ -74,36 +76,66 @@ def fit(x: np.ndarray, w: np.ndarray, k: int, restarts: int = 5, max_iter: int =
     return best
 
 
-def coreset(x: np.ndarray, w: np.ndarray, m: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``m`` of the points, each with the mass it stands for.
+class Costs:
+    """The costs of up to ``m`` cells under a tree of sums: a change or a draw takes O(log m) steps."""
+
+    def __init__(self, m: int):
+        self.size = 1 << max(0, m - 1).bit_length()
+        self.sums = [0.0] * (2 * self.size)
+
+    def set(self, cell: int, cost: float) -> None:
+        i, sums = cell + self.size, self.sums
+        sums[i] = float(cost)
+        while i > 1:
+            i //= 2
+            sums[i] = sums[2 * i] + sums[2 * i + 1]
+
+    @property
+    def total(self) -> float:
+        return self.sums[1]
+
+    def draw(self, u: float) -> int:
+        """The cell at the share ``u`` of the total; never one without cost, if any has some."""
+        i, need, sums = 1, u * self.sums[1], self.sums
+        while i < self.size:
+            left, right = sums[2 * i], sums[2 * i + 1]
+            if need < left or not right > 0:
+                i = 2 * i
+            else:
+                i, need = 2 * i + 1, need - left
+        return i - self.size
+
 
-    A partition is refined cell by cell: a cell is drawn in proportion to its cost, a point of it
-    to its share of that cost, and the cell splits between its representative and that point,
-    ties staying. Cells lie side by side in one permutation, and their costs in one vector that a
-    split changes in two places, so a draw needs no tree. Few distinct points end the refinement
-    early; inputs of at most ``m`` points come back as they are.
+@dataclass
+class Partition:
+    """Cells of points: the row that represents each, its rows, their mass and cost."""
+
+    reps: list[int]
+    rows: list[np.ndarray]
+    mass: np.ndarray
+    cost: np.ndarray
+
+
+def partition(x: np.ndarray, w: np.ndarray, m: int, rng) -> Partition:
+    """Refines one cell of all points into at most ``m``; ``rng.random()`` gives the uniforms.
+
+    A cell is drawn in proportion to its cost, a point of it to its share of that cost, and the
+    cell splits between its representative and that point, ties staying. Cells lie side by side in
+    one permutation. Few distinct points end the refinement early.
     """
-    if m < 1:
-        raise ValueError("m must be positive")
-    if len(x) <= m:
-        return x, w
     order, reps = np.arange(len(x)), [draw(w, rng.random())]
     near = distances(x, x[reps])[:, 0]
     first, last = [0], [len(x)]
-    costs = np.zeros(m)
-    costs[0] = w @ near
-    while len(reps) < m:
-        running = np.cumsum(costs[: len(reps)])
-        if not running[-1] > 0:
-            break
-        u, v = rng.random(2)
-        cell = min(int(running.searchsorted(u * running[-1])), len(reps) - 1)
+    costs = Costs(m)
+    costs.set(0, w @ near)
+    while len(reps) < m and costs.total > 0:
+        cell, v = costs.draw(rng.random()), rng.random()
         a, b = first[cell], last[cell]
-        rows = order[a:b]
+        rows = order[a:b].copy()  # the split below rewrites this part of the permutation
         held, weight = near[rows], w[rows]
         share = np.cumsum(weight * held)
         if not share[-1] > 0:
-            costs[cell] = 0.0
+            costs.set(cell, 0.0)
             continue
         new = int(rows[min(int(share.searchsorted(v * share[-1])), b - a - 1)])
         gap = x[rows] - x[new]
@@ -111,7 +143,7 @@ def coreset(x: np.ndarray, w: np.ndarray, m: int, rng: np.random.Generator) -> t
         moves = to_new < held
         if not moves.any():  # the point equals its representative, but for rounding
             near[new] = 0.0
-            costs[cell] = weight @ near[rows]
+            costs.set(cell, weight @ near[rows])
             continue
         stay = ~moves
         n = int(stay.sum())
@@ -120,11 +152,24 @@ def coreset(x: np.ndarray, w: np.ndarray, m: int, rng: np.random.Generator) -> t
         last[cell] = a + n
         first.append(a + n)
         last.append(b)
-        costs[cell] = weight[stay] @ held[stay]
-        costs[len(reps)] = weight[moves] @ to_new[moves]
+        costs.set(cell, weight[stay] @ held[stay])
+        costs.set(len(reps), weight[moves] @ to_new[moves])
         reps.append(new)
-    mass = np.array([w[order[a:b]].sum() for a, b in zip(first, last, strict=True)])
-    return x[reps].copy(), mass
+    cells = [order[a:b] for a, b in zip(first, last, strict=True)]
+    return Partition(reps, cells, np.array([w[c].sum() for c in cells]), np.array([w[c] @ near[c] for c in cells]))
+
+
+def coreset(x: np.ndarray, w: np.ndarray, m: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``m`` of the points, each with the mass of its cell of the :func:`partition`.
+
+    Inputs of at most ``m`` points come back as they are.
+    """
+    if m < 1:
+        raise ValueError("m must be positive")
+    if len(x) <= m:
+        return x, w
+    cells = partition(x, w, m, rng)
+    return x[cells.reps].copy(), cells.mass
 
 
 class Sketch:
