@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from siltbed.functions import vectors
 
 Centers = Sequence[Sequence[float]]
+#: Centres of a table that are broadcast.
+BROADCAST_CENTERS = 10_000
 
 
 def centers_frame(points: DataFrame, centers: Centers) -> DataFrame:
@@ -40,14 +42,35 @@ def sse(points: DataFrame, centers: Centers) -> DataFrame:
 
 
 def sse_by_cluster(points: DataFrame, centers: Centers) -> DataFrame:
-    """(cid, n, mass, cost) of every cluster that has points."""
-    return assign(points, centers).groupBy("cid").agg(F.count("*").alias("n"), F.sum("w").alias("mass"), F.sum(F.col("w") * F.col("d2")).alias("cost"))
+    """(cid, n, mass, cost) of every cluster that has points; partial sums per task, in Arrow batches."""
+    c = np.array(centers, np.float64)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mass, total = np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros(len(c))
+        for batch in batches:
+            if batch.num_rows:
+                d2, w = distances(flat(batch.column("x")), c), batch.column("w").to_numpy()
+                cid = d2.argmin(axis=1)
+                n += np.bincount(cid, minlength=len(c))
+                mass += np.bincount(cid, weights=w, minlength=len(c))
+                total += np.bincount(cid, weights=w * d2[np.arange(len(d2)), cid], minlength=len(c))
+        hit = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(n[hit]), pa.array(mass[hit]), pa.array(total[hit])], names=["cid", "n", "mass", "cost"])
 
+    parts = points.select("x", "w").mapInArrow(kernel, "cid int, n long, mass double, cost double")
+    return parts.groupBy("cid").agg(*(F.sum(v).alias(v) for v in ("n", "mass", "cost")))
 
-def sse_join(points: DataFrame, centers: DataFrame, key: str = "id") -> DataFrame:
-    """The SSE as a nearest-neighbour join with a table of centres, which the caller vouches is small."""
-    pairs = points.crossJoin(F.broadcast(centers)).select(key, "w", vectors.sqdist(F.col("x"), F.col("c")).alias("d2"))
-    near = pairs.groupBy(key, "w").agg(F.min("d2").alias("d2"), F.count("*").alias("n"))
+
+def small(centers: DataFrame) -> DataFrame:
+    """``centers``, broadcast if there are at most :data:`BROADCAST_CENTERS`; others are joined by shuffle."""
+    return F.broadcast(centers) if centers.limit(BROADCAST_CENTERS + 1).count() <= BROADCAST_CENTERS else centers.hint("shuffle_replicate_nl")
+
+
+def sse_join(points: DataFrame, centers: DataFrame) -> DataFrame:
+    """The SSE as a nearest-neighbour join with a table of centres (c); every row counts as a point of its own."""
+    rows = points.select(F.monotonically_increasing_id().alias("row"), "x", "w")
+    pairs = rows.crossJoin(small(centers.select("c"))).select("row", "w", vectors.sqdist(F.col("x"), F.col("c")).alias("d2"))
+    near = pairs.groupBy("row").agg(F.min("d2").alias("d2"), F.first("w").alias("w"))
     return near.agg(F.coalesce(F.sum(F.col("w") * F.col("d2")), F.lit(0.0)).alias("cost"))
 
 
@@ -88,8 +111,13 @@ def cost(points: DataFrame, centers: Centers) -> float:
     return sse_arrow(points, centers).first()["cost"]
 
 
+def model_cost(points: DataFrame, model) -> float:
+    """The weighted SSE of the points around a model's centres."""
+    return cost(points, model.centers)
+
+
 def max_center_deviation(truth: DataFrame, found: DataFrame) -> DataFrame:
     """One row (deviation): the largest distance of a true centre (cid, c) to its nearest found one."""
     other = found.select(F.col("c").alias("f"))
-    near = truth.crossJoin(F.broadcast(other)).groupBy("cid").agg(F.min(vectors.sqdist(F.col("c"), F.col("f"))).alias("d2"))
+    near = truth.crossJoin(small(other)).groupBy("cid").agg(F.min(vectors.sqdist(F.col("c"), F.col("f"))).alias("d2"))
     return near.agg(F.sqrt(F.max("d2")).alias("deviation"))

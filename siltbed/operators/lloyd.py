@@ -26,15 +26,22 @@ class Model:
     def k(self) -> int:
         return len(self.centers)
 
+    def ordered(self) -> list[list[float]]:
+        """The centres by their first coordinate, then the others: an order that doesn't hang on seeds."""
+        return sorted(self.centers)
+
     def frame(self, like: DataFrame) -> DataFrame:
         return costs.centers_frame(like, self.centers)
 
 
 def step(points: DataFrame, centers: list[list[float]]) -> DataFrame:
-    """(cid, j, v): the coordinates of the new centres, as one relational plan.
+    """(cid, j, v): the coordinates of the new centres; a cluster without points or mass keeps its old one."""
+    new, _ = fused_step(points, np.array(centers, np.float64))
+    return points.sparkSession.createDataFrame([(i, j, v) for i, c in enumerate(new.tolist()) for j, v in enumerate(c)], "cid int, j int, v double")
 
-    A cluster without points or mass keeps its old centre.
-    """
+
+def step_relational(points: DataFrame, centers: list[list[float]]) -> DataFrame:
+    """As :func:`step`, as one relational plan that explodes coordinates: its twin for SQL engines."""
     sums = costs.assign(points, centers).select("cid", "w", F.posexplode("x").alias("j", "v")).groupBy("cid", "j").agg(
         F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("m"))
     old = costs.centers_frame(points, centers).select("cid", F.posexplode("c").alias("j", "old"))

@@ -13,32 +13,41 @@ from siltbed.functions import vectors
 from siltbed.functions.uniforms import uniform, uniform_column
 from siltbed.operators import cost
 
-#: Cells of ids whose sums are put in order first.
-CELLS = 4096
+#: Cells of ids whose sums are put in order first, and rows that are few enough to be ordered at once.
+CELLS, FEW = 4096, 10_000
 
 
 def weighted_draw(df: DataFrame, u: float, weight: str | Column = "w", key: str = "id") -> DataFrame:
     """One row (key): the first row, by key, whose running weight reaches ``u`` times the total.
 
     If the total isn't positive, every row weighs 1. An empty table gives no row. Running sums
-    are taken over at most :data:`CELLS` + 1 ranges of keys, then within the one that is hit.
+    are taken over at most :data:`CELLS` + 1 ranges of keys at a time, and the range that is hit is
+    cut again until it holds few rows or a single key, so no task orders many rows.
     """
     w = F.col(weight) if isinstance(weight, str) else weight
-    rows = df.select(F.col(key).cast("long").alias("id"), w.cast("double").alias("w"))
+    rows = df.select(F.col(key).cast("long").alias("id"), w.cast("double").alias("w")).filter("id is not null")
     span = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("w").alias("total"), F.count("*").alias("n")).first()
     if not span["n"]:
         return df.select(key).limit(0)
     total = span["total"]
     if total is None or not total > 0:
         rows, total = rows.withColumn("w", F.lit(1.0)), float(span["n"])
-    width = max(1, -(-(span["hi"] - span["lo"] + 1) // CELLS))
-    cells = rows.groupBy(F.floor((F.col("id") - span["lo"]) / width).alias("cell")).agg(F.sum("w").alias("w")).orderBy("cell").collect()
-    running = np.cumsum([c["w"] for c in cells])
-    at = min(int(np.searchsorted(running, u * total, side="left")), len(cells) - 1)
-    while at and cells[at]["w"] == 0:  # rounding ran past the end
-        at -= 1
-    need, first = u * total - float(running[at] - cells[at]["w"]), span["lo"] + cells[at]["cell"] * width
-    inside = rows.filter((F.col("id") >= first) & (F.col("id") < first + width))
+    lo, hi, n, need = span["lo"], span["hi"], span["n"], u * total
+    while True:
+        inside = rows.filter((F.col("id") >= lo) & (F.col("id") <= hi))
+        if lo == hi or n <= FEW:
+            break
+        width = max(1, -(-(hi - lo + 1) // CELLS))
+        cell = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
+        cells = inside.groupBy(cell.alias("cell")).agg(F.sum("w").alias("w"), F.count("*").alias("n")).orderBy("cell").collect()
+        running = np.cumsum([c["w"] for c in cells])
+        at = min(int(np.searchsorted(running, need, side="left")), len(cells) - 1)
+        while at and cells[at]["w"] == 0:  # rounding ran past the end
+            at -= 1
+        need -= float(running[at] - cells[at]["w"])
+        lo, hi, n = lo + cells[at]["cell"] * width, min(hi, lo + (cells[at]["cell"] + 1) * width - 1), cells[at]["n"]
+    if lo == hi:
+        return df.sparkSession.createDataFrame([(lo,)], "id long").select(F.col("id").alias(key))
     cs = F.sum("w").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
     hit = inside.withColumn("cs", cs).agg(F.min(F.when(F.col("cs") >= need, F.col("id"))).alias("a"), F.max("id").alias("b"))
     return hit.select(F.coalesce("a", "b").alias(key))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import math
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltbed.functions.vectors import recommended_size
 from siltbed.operators import coreset, cost, kernel
-from siltbed.operators.lloyd import Model
+from siltbed.operators.lloyd import Model, lloyd
 from siltbed.sources import points as sources
 from siltbed.sources import sinks
 
@@ -21,15 +20,22 @@ K_SWEEP = (10, 20, 30, 40, 50)
 M_SWEEP, M_SWEEP_K = (1000, 5000, 10000, 20000), 25
 DIMENSIONS, PARTITIONS, RESTARTS, MAX_ITER, TOL, BASE_SEED = 54, 8, 5, 100, 1e-6, 2026
 SEED_STEP = 1_000_003
+#: The relative gain of a Lloyd iteration on the full table that ends the refinement.
+REFINE_TOL = 2e-4
 
 
-def cluster(points: DataFrame, k: int, m: int | None = None, seed: int = 42, restarts: int = RESTARTS, fan: int | None = None) -> Model | None:
-    """Coreset, then k-means++ and Lloyd on it. The model's cost is the full table's; None without points."""
+def cluster(points: DataFrame, k: int, m: int | None = None, seed: int = 42, restarts: int = RESTARTS, fan: int | None = None, refine: int = 0) -> Model | None:
+    """Coreset, k-means++ and Lloyd on it, then at most ``refine`` Lloyd iterations on the full table.
+
+    The refinement takes out what is left of the coreset's sampling error and stops where an iteration
+    gains little; by default there is none. The model's cost is the full table's; None without points.
+    """
     x, w = coreset.to_arrays(coreset.merged_coreset(points, m or recommended_size(k), seed, fan))
     if not len(x):
         return None
     centers, _, iterations = kernel.fit(x, w, k, restarts, MAX_ITER, TOL, key=(seed,))
-    return Model(centers.tolist(), cost.cost(points, centers.tolist()), iterations)
+    fitted = lloyd(points, centers.tolist(), refine, REFINE_TOL)
+    return Model(fitted.centers, fitted.cost, iterations + fitted.iterations)
 
 
 def distributed_cost(points: DataFrame, k: int, m: int, seed: int) -> float:
@@ -38,8 +44,7 @@ def distributed_cost(points: DataFrame, k: int, m: int, seed: int) -> float:
 
 def sequential_cost(points: DataFrame, k: int, m: int, seed: int) -> float:
     """The same with one task: a single pass in arrival order, then the cost of the full table."""
-    model = cluster(points.coalesce(1), k, m, seed)
-    return cost.cost(points, _required(model).centers)
+    return _required(cluster(points.coalesce(1), k, m, seed)).cost
 
 
 def sequential_cost_of_file(spark: SparkSession, path: str, k: int, m: int, seed: int, dim: int = DIMENSIONS, max_lines: int | None = None) -> float:
@@ -135,22 +140,6 @@ def demo(spark: SparkSession, n: int = 200_000, k: int = 5, d: int = 2, m: int =
 # How the error of a coreset compounds over a tree of merges.
 
 
-def scale_factor(partitions: int, depth: int) -> int:
-    return max(2, math.ceil(partitions ** (1 / depth) - 1e-12))
-
-
-def worst_case_levels(partitions: int, depth: int) -> int:
-    return depth * (scale_factor(partitions, depth) - 1)
-
-
-def compounded_tolerance(levels: int, epsilon: float = 0.10) -> float:
-    return (1 + epsilon) ** levels - 1
-
-
-def tree_tolerance(partitions: int, depth: int, epsilon: float = 0.10) -> float:
-    return compounded_tolerance(worst_case_levels(partitions, depth), epsilon)
-
-
 def error_model(cases: DataFrame, epsilon: float = 0.10) -> DataFrame:
     """(partitions, depth) with the scale, the levels and the tolerance, as column expressions."""
     scale = F.greatest(F.lit(2), F.ceil(F.pow("partitions", 1 / F.col("depth")) - 1e-12).cast("int"))

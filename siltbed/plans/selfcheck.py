@@ -18,13 +18,14 @@ def checks() -> list[tuple[str, bool]]:
     line = np.stack([np.arange(100.0), np.zeros(100)], axis=1)
     x, w = kernel.coreset(line, np.ones(100), 10, kernel.generator(1))
     sketch = kernel.Sketch(10).insert(line)
-    return [
+    found = [
         ("squared distance", float(distances(np.zeros((1, 2)), np.array([[3.0, 4]]))[0, 0]) == 25),
         ("two clusters", cost == 4 and centers.tolist() == [[0, 1], [10, 11]]),
         ("weighted mean", cost_pair == 75 and pair.tolist() == [[2.5, 0]]),
         ("coreset", len(x) <= 10 and abs(w.sum() - 100) < 1e-9),
         ("sketch", sketch.check() and abs(sketch.extract()[1].sum() - 100) < 1e-9),
     ]
+    return [(name, bool(ok)) for name, ok in found]
 
 
 def main(argv: list[str]) -> int:

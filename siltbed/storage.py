@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_paths: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; on a local master without one, an own folder."""
     sc = spark.sparkContext
@@ -26,13 +29,23 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the session's JVM ends."""
+    """A new path in the shared folder, deleted by :func:`release` or when the session's JVM ends."""
     path = f"{shared_root(spark)}/siltbed/{label}-{uuid.uuid4().hex}"
+    _paths.append(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return path
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes this process's intermediate tables; for long sessions that are done with all their results."""
+    gone = 0
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df``, written once and read back; its rows no longer depend on ``df``'s lineage."""
     spark = df.sparkSession
