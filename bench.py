@@ -33,6 +33,7 @@ def main() -> None:
     n_vectors, n_lines = vectors.count(), lines.count()
     centers = catalogue.first_centers(vectors, 10)
     keyed = lines.withColumn("id", F.monotonically_increasing_id())
+    stream = catalogue.stream_input(spark, sf_dir)  # the files that the stream will find
     extra: dict[str, float] = {"vectors": n_vectors, "lines": n_lines, "cpus": int(cpus)}
 
     def done(df: DataFrame) -> None:
@@ -63,7 +64,7 @@ def main() -> None:
         "mllib_lineitem_k10": mllib,
         "cluster_embeddings_k10": ours_vectors,
         "mllib_embeddings_k10": mllib_vectors,
-        "stream_events": lambda: catalogue.stream_batches(spark, sf_dir).collect(),
+        "stream_events": lambda: catalogue.run_stream(spark, stream),
     }
     seconds = {}
     work["sse_arrow"]()  # starts the Python workers and compiles the scan

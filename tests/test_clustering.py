@@ -1,5 +1,7 @@
 import math
 
+import os
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -242,6 +244,55 @@ def test_plans_agree(spark, tmp_path):
     p.unpersist()
 
 
+def test_partition_keeps_points_with_the_nearer_representative():
+    """After every split, the cost of a cell is that of its points around its representative, and no mass is lost."""
+    rng = np.random.default_rng(3)
+    x, w = rng.normal(size=(400, 3)), rng.integers(1, 5, 400).astype(float)
+    for m in (2, 3, 10, 50, 399):
+        cells = kernel.partition(x, w, m, kernel.generator(m))
+        assert sorted(np.concatenate(cells.rows)) == list(range(400)) and len(cells.reps) == m
+        for rep, rows, mass, cost_ in zip(cells.reps, cells.rows, cells.mass, cells.cost, strict=True):
+            assert rep in rows and mass == w[rows].sum() and cost_ == pytest.approx(w[rows] @ ((x[rows] - x[rep]) ** 2).sum(axis=1))
+
+
+def test_cost_tree_draws_like_running_sums():
+    rng = np.random.default_rng(0)
+    costs, plain = kernel.Costs(37), np.zeros(37)
+    for _ in range(300):
+        i = int(rng.integers(0, 37))
+        plain[i] = rng.choice([0.0, rng.random()])
+        costs.set(i, plain[i])
+        u = rng.random()
+        assert costs.total == pytest.approx(plain.sum())
+        if plain.sum() > 0:
+            assert costs.draw(u) == int(np.searchsorted(np.cumsum(plain), u * plain.sum(), side="right")) and plain[costs.draw(u)] > 0
+
+
+def test_draw_with_outlying_and_repeated_ids(spark, monkeypatch):
+    from siltbed.operators import sampling
+
+    monkeypatch.setattr(sampling, "FEW", 5)
+    monkeypatch.setattr(sampling, "CELLS", 8)
+    ids = sorted([0, 2**62, *range(1000, 1060), *[1030] * 50])
+    df = spark.createDataFrame([(i, 1.0 + i % 3) for i in ids], "id long, w double")
+    running = np.cumsum([1.0 + i % 3 for i in ids])
+    for u in (0.0, 0.001, 0.3, 0.5, 0.62, 0.97, 0.9999):
+        assert sampling.weighted_draw(df, u).first()["id"] == ids[int(np.searchsorted(running, u * running[-1], side="left"))]
+
+
+def test_equal_rows_are_points_of_their_own(spark):
+    p = spark.createDataFrame([(1, [0.0], 1.0), (1, [4.0], 1.0), (1, [4.0], 1.0)], "id long, x array<double>, w double")
+    assert cost.sse_join(p, cost.centers_frame(p, [[0.0], [1.0]])).first()["cost"] == 18
+
+
+def test_release_deletes_intermediate_tables(spark):
+    from siltbed import storage
+
+    df = storage.materialize(spark.range(3), "gone")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+    assert os.path.isdir(path) and storage.release(spark) > 0 and not os.path.isdir(path) and storage.release(spark) == 0
+
+
 def test_sweeps(spark):
     x, _ = blobs(400, 3, 2)
     p = frame(spark, [(r, 1) for r in x])
@@ -250,10 +301,11 @@ def test_sweeps(spark):
     assert len(experiments.m_sweep(p, "toy", ms=(50,), k=3)) == 2
 
 
-def test_small_functions():
+def test_small_functions(spark):
     assert [experiments.positive_int(t) for t in ("3", "0", "-1", "x", None)] == [3, None, None, None, None]
-    assert experiments.tree_tolerance(8, 2) == pytest.approx(0.4641) and experiments.tree_tolerance(4, 2) == pytest.approx(0.21)
-    assert experiments.scale_factor(1, 2) == 2
+    cases = spark.createDataFrame([(8, 2), (4, 2), (1, 2)], "partitions int, depth int")
+    got = {r["partitions"]: r for r in experiments.error_model(cases).collect()}
+    assert got[8]["tolerance"] == pytest.approx(0.4641) and got[4]["tolerance"] == pytest.approx(0.21) and got[1]["scale"] == 2
 
 
 def test_selfcheck():
@@ -277,4 +329,4 @@ def test_registered_baseline_is_the_best_of_five(spark, monkeypatch):
     monkeypatch.setattr(catalogue.experiments, "KMeans", Fit)
     monkeypatch.setattr(catalogue.experiments, "cluster", lambda *_: type("Model", (), {"cost": 1.0}))
     monkeypatch.setattr(catalogue, "embeddings", lambda *_: catalogue.sources.from_columns(spark.range(3), ["id"]))
-    assert catalogue.coreset_quality_ok(spark, "").first()["ok"] and len(set(seeds)) == 5
+    assert catalogue.coreset_quality(spark, "").first()["excess"] == 0.0 and len(set(seeds)) == 5
