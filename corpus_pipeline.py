@@ -7,12 +7,13 @@ effect: rejected documents and near copies go, mixed documents repeat, packed on
 1. quality: rows stay that have a good grade with probability 0.5 or more; null and empty texts
    are graded as texts without features.
 2. toxicity: rows stay that score below 0.3.
-3. near duplicates: of each class, the document with the least doc_id stays.
+3. near duplicates: of each class, the document with the least doc_id stays; a doc_id that repeats
+   with another text is another document.
 4. mixing: rows repeat as their source's target takes them (0 to 3 times), whole documents only.
 5. packing: every piece of every row, with its sequence and offset.
 
-Repeated rows count one by one but in stage 3, which keeps a row per doc_id; rows without a
-doc_id pass stages 3 and 4 once. An empty table gives empty tables. Both classifiers learn from
+Rows that repeat a doc_id and text count one by one but in stage 3, which keeps one of them; rows
+without a doc_id pass stages 3 and 4 once. An empty table gives empty tables. Both classifiers learn from
 the labelled documents of the input table outside the held-out fold.
 """
 
