@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import operator
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,11 @@ from siltbed.storage import materialize
 BUCKETS = 1 << 20
 #: Tasks that read the training sample.
 PARTS = 12
+#: Bytes of the sample's chosen features that the driver holds while it fits; more stay in the shared folder.
+FEATURE_BYTES = 1 << 25
+#: Texts' values between -1 and 1 are rounded to multiples of this, so that sums over up to 16,384
+#: texts are exact and don't hang on the order in which tasks add them.
+GRID = 2.0**-38
 _STEP = np.uint32(0x01000193)
 
 
@@ -122,12 +127,56 @@ class Presence:
         return out
 
     def spread(self, values: np.ndarray, width: int) -> np.ndarray:
-        """For each column, the sum of its texts' values."""
-        out = np.zeros(width)
+        """For each column, the sum of its texts' values (to :data:`GRID`)."""
+        values, out = np.round(values / GRID) * GRID, np.zeros(width)
         for texts, some in self._parts():
             out += np.bincount(self.columns[some], weights=np.repeat(values[texts], self.counts[texts]), minlength=width)
         return out
 
+    def step(self, weights: np.ndarray, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's sum of its columns' weights, and each column's sum of its texts' values.
+
+        ``value`` gets such sums and the numbers of their texts.
+        """
+        margin = self.dot(weights)
+        return margin, self.spread(value(margin, np.arange(len(margin))), len(weights))
+
+
+class SharedPresence:
+    """As :class:`Presence`, over a table (doc_id, columns) in the shared folder, a text of each of ``ids``
+    (ascending); every step reads it once. What reaches the driver is a row of sums from each of at most
+    :data:`PARTS` tasks, 8 bytes a column."""
+
+    def __init__(self, rows: DataFrame, ids: np.ndarray):
+        self.rows, self.ids = rows.coalesce(PARTS), ids
+
+    def step(self, weights: np.ndarray, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.ids
+
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts, margins, total = [], [], np.zeros(len(weights))
+            for batch in batches:
+                for part in text_slices(batch, "columns"):
+                    own, at = packed_presence(part.column("columns").to_pylist()), np.searchsorted(ids, part.column("doc_id").to_numpy())
+                    margin, some = own.step(weights, lambda m, i, at=at: value(m, at[i]))
+                    texts.append(at)
+                    margins.append(margin)
+                    total += some
+            if texts:
+                out = [np.concatenate(texts).astype(np.int64), np.concatenate(margins), total]
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in out], names=["texts", "margins", "total"])
+
+        margin, total = np.zeros(len(ids)), np.zeros(len(weights))
+        for r in self.rows.mapInArrow(kernel, "texts binary, margins binary, total binary").collect():
+            margin[np.frombuffer(r["texts"], np.int64)] = np.frombuffer(r["margins"], np.float64)
+            total += np.frombuffer(r["total"], np.float64)
+        return margin, total
+
+
+def packed_presence(rows: list[bytes]) -> Presence:
+    """From each text's column numbers as little-endian 32-bit integers."""
+    return Presence(np.frombuffer(b"".join(rows), "<i4"), np.array([len(c) // 4 for c in rows], np.int64))
+
 
 def linear_scores(texts: list[str | None], weights: np.ndarray, sizes: tuple[int, ...], prose: bool) -> np.ndarray:
     """For each whole text, the sum of ``weights`` over its distinct buckets."""
@@ -169,12 +218,14 @@ class Sample:
     """Labelled training texts as a table (doc_id, text, y); whole texts are read by the executors alone.
 
     What reaches the driver is the labels, about :data:`PARTS` pairs of bucket counts (packed, a few MB
-    each at most) and each text's chosen features, however long the texts are.
+    each at most) and each text's chosen features as long as they have at most :data:`FEATURE_BYTES`;
+    beyond that they stay in the shared folder, and every step of the fit reads them there.
     """
 
     def __init__(self, rows: DataFrame, sizes: tuple[int, ...], prose: bool):
         self.rows, self.sizes, self.prose = rows, sizes, prose
         known = sorted((r["doc_id"], r["y"]) for r in rows.select("doc_id", "y").collect())
+        self.ids = np.array([i for i, _ in known], np.int64)
         self.y = np.array([y for _, y in known], np.int64)
 
     def sums(self, value: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +248,7 @@ class Sample:
             total += np.frombuffer(zlib.decompress(r["total"]), np.int64)
         return n, total
 
-    def presence(self, chosen: np.ndarray) -> Presence:
+    def presence(self, chosen: np.ndarray) -> Presence | SharedPresence:
         sizes, prose = self.sizes, self.prose
 
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,10 +259,10 @@ class Sample:
                     rows = [column[found.of(t)].astype("<i4").tobytes() for t in part.column("text").to_pylist()]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "columns"])
 
-        found = self.rows.select("doc_id", "text").mapInArrow(kernel, "doc_id long, columns binary").collect()
-        rows = sorted((r["doc_id"], bytes(r["columns"])) for r in found)
-        counts = np.array([len(c) // 4 for _, c in rows], np.int64)
-        return Presence(np.frombuffer(b"".join(c for _, c in rows), "<i4"), counts)
+        found = materialize(self.rows.select("doc_id", "text").mapInArrow(kernel, "doc_id long, columns binary"), "features")
+        if (found.agg(F.sum(F.octet_length("columns"))).first()[0] or 0) > FEATURE_BYTES:
+            return SharedPresence(found, self.ids)
+        return packed_presence([c for _, c in sorted((r["doc_id"], bytes(r["columns"])) for r in found.collect())])
 
 
 def fold(doc_id: Column) -> Column:

@@ -75,12 +75,21 @@ def fit_sample(sample: ngrams.Texts | ngrams.Sample, min_docs: int = 4, min_z: f
         return v[k] + np.concatenate(([0.0], np.cumsum(np.exp(np.minimum(v[k + 1 :], 50)))))
 
     def objective(v: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = x.dot(v[:k])
         cut = np.concatenate(([-np.inf], unpack(v), [np.inf]))
-        hi, lo = _logistic(cut[y + 1] - margin), _logistic(cut[y] - margin)
-        p = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        slope = x.spread(d_hi - d_lo, k) + ridge * v[:k]
+
+        def slopes(margin: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            grade = y[texts]
+            hi, lo = _logistic(cut[grade + 1] - margin), _logistic(cut[grade] - margin)
+            p = np.maximum(hi - lo, 1e-12)
+            return p, hi * (1 - hi) / p, lo * (1 - lo) / p
+
+        def value(margin: np.ndarray, texts: np.ndarray) -> np.ndarray:
+            _, d_hi, d_lo = slopes(margin, texts)
+            return d_hi - d_lo
+
+        margin, sums = x.step(v[:k], value)
+        p, d_hi, d_lo = slopes(margin, np.arange(n))
+        slope = sums + ridge * v[:k]
         d_cut = np.bincount(y, weights=-d_hi, minlength=cuts + 1)[:cuts] + np.bincount(y, weights=d_lo, minlength=cuts + 1)[1:]
         gaps = np.exp(np.minimum(v[k + 1 :], 50)) * (np.cumsum(d_cut[::-1])[::-1][1:])
         return -np.log(p).sum() + ridge * (v[:k] @ v[:k]) / 2, np.concatenate((slope, [d_cut.sum()], gaps))

@@ -60,10 +60,16 @@ def fit_sample(sample: ngrams.Texts | ngrams.Sample, alpha: float = 0.5, min_doc
     x, k = sample.presence(chosen), len(chosen)
 
     def objective(v: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = x.dot(ratio * v[:k]) + v[k]
+        b = v[k]
+
+        def error(margin: np.ndarray, texts: np.ndarray) -> np.ndarray:
+            return 1 / (1 + np.exp(-np.clip(margin + b, -500, 500))) - y[texts]
+
+        margin, sums = x.step(ratio * v[:k], error)
+        err = error(margin, np.arange(n))
+        margin = margin + b
         loss = np.logaddexp(0, margin) - y * margin
-        err = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y
-        slope = ratio * x.spread(err, k) + ridge * v[:k]
+        slope = ratio * sums + ridge * v[:k]
         return loss.sum() + ridge * (v[:k] @ v[:k]) / 2, np.append(slope, err.sum())
 
     solution = minimize(objective, np.append(np.zeros(k), base))

@@ -524,6 +524,22 @@ def test_training_over_a_table_is_training_in_memory(spark, module, label):
     assert one.buckets.tolist() == two.buckets.tolist() and len(one.buckets) and one.weights == pytest.approx(two.weights, abs=1e-6)
 
 
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_features_of_long_texts_stay_off_the_driver(spark, monkeypatch, module, label):
+    """Beyond FEATURE_BYTES no text's features are collected, and the model is the same to the last bit."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "vile", "kind"], 40)) + (" vile!! vile" if i % 3 == 0 else " kind words")) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0) if label == "toxic" else i % 3) for i in range(240)], f"doc_id long, {label} int")
+    two, most = module.fit([t for _, t in rows], labels.toPandas()[label].to_numpy()), []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: (most.append("columns" in self.columns), collect(self))[1])
+    monkeypatch.setattr(ngrams, "FEATURE_BYTES", 1000, raising=False)
+    one = module.train(docs, labels, None)
+    assert not any(most)
+    assert len(one.buckets) and one.buckets.tolist() == two.buckets.tolist() and one.weights.tolist() == two.weights.tolist()
+
+
 # 8 --------------------------------------------------------------------------------------------
 
 
