@@ -143,7 +143,7 @@ class Presence:
 
 
 class SharedPresence:
-    """As :class:`Presence`, over a table (doc_id, columns) in the shared folder, a text of each of ``ids``
+    """As :class:`Presence`, over a table (doc_id, n, columns) in the shared folder, a text of each of ``ids``
     (ascending); every step reads it once. What reaches the driver is a row of sums from each of at most
     :data:`PARTS` tasks, 8 bytes a column."""
 
@@ -156,8 +156,8 @@ class SharedPresence:
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts, margins, total = [], [], np.zeros(len(weights))
             for batch in batches:
-                for part in text_slices(batch, "columns"):
-                    own, at = packed_presence(part.column("columns").to_pylist()), np.searchsorted(ids, part.column("doc_id").to_numpy())
+                for part in text_slices(batch, "columns", 1 << 17):  # at most 32 times as much unpacked
+                    own, at = unpacked(part.column("n").to_pylist(), part.column("columns").to_pylist()), np.searchsorted(ids, part.column("doc_id").to_numpy())
                     margin, some = own.step(weights, lambda m, i, at=at: value(m, at[i]))
                     texts.append(at)
                     margins.append(margin)
@@ -173,9 +173,19 @@ class SharedPresence:
         return margin, total
 
 
-def packed_presence(rows: list[bytes]) -> Presence:
-    """From each text's column numbers as little-endian 32-bit integers."""
-    return Presence(np.frombuffer(b"".join(rows), "<i4"), np.array([len(c) // 4 for c in rows], np.int64))
+def packed(columns: np.ndarray, width: int) -> bytes:
+    """A text's column numbers, ascending: as 32-bit integers or as a bit for each of ``width`` columns, whichever is shorter."""
+    if 4 * len(columns) <= (width + 7) // 8:
+        return columns.astype("<i4").tobytes()
+    bits = np.zeros(width, bool)
+    bits[columns] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(counts: list[int], rows: list[bytes]) -> Presence:
+    """The texts of :func:`packed` rows, of which each has a number of columns."""
+    columns = [np.frombuffer(r, "<i4") if len(r) == 4 * n else np.flatnonzero(np.unpackbits(np.frombuffer(r, np.uint8))).astype(np.int32) for n, r in zip(counts, rows, strict=True)]
+    return Presence(np.concatenate([np.zeros(0, np.int32), *columns]), np.array(counts, np.int64))
 
 
 def linear_scores(texts: list[str | None], weights: np.ndarray, sizes: tuple[int, ...], prose: bool) -> np.ndarray:
@@ -210,7 +220,7 @@ class Texts:
         """The buckets ``chosen`` that each text has."""
         column = _numbered(chosen)
         found = Distinct(self.sizes, self.prose, column >= 0)
-        rows = [column[found.of(t)] for t in self.texts]
+        rows = [np.sort(column[found.of(t)]) for t in self.texts]
         return Presence(np.concatenate([np.zeros(0, np.int32), *rows]), np.array([len(r) for r in rows], np.int64))
 
 
@@ -256,13 +266,15 @@ class Sample:
             found = Distinct(sizes, prose, column >= 0)
             for batch in batches:
                 for part in text_slices(batch, "text"):
-                    rows = [column[found.of(t)].astype("<i4").tobytes() for t in part.column("text").to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "columns"])
+                    rows = [np.sort(column[found.of(t)]) for t in part.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id"), pa.array([len(r) for r in rows], pa.int32()), pa.array([packed(r, len(chosen)) for r in rows], pa.binary())], names=["doc_id", "n", "columns"])
 
-        found = materialize(self.rows.select("doc_id", "text").mapInArrow(kernel, "doc_id long, columns binary"), "features")
-        if (found.agg(F.sum(F.octet_length("columns"))).first()[0] or 0) > FEATURE_BYTES:
+        found = materialize(self.rows.select("doc_id", "text").mapInArrow(kernel, "doc_id long, n int, columns binary"), "features")
+        if 4 * (found.agg(F.sum("n")).first()[0] or 0) > FEATURE_BYTES:
             return SharedPresence(found, self.ids)
-        return packed_presence([c for _, c in sorted((r["doc_id"], bytes(r["columns"])) for r in found.collect())])
+        rows = sorted((r["doc_id"], r["n"], bytes(r["columns"])) for r in found.collect())
+        return unpacked([n for _, n, _ in rows], [c for *_, c in rows])
 
 
 def fold(doc_id: Column) -> Column:

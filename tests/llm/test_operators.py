@@ -540,6 +540,14 @@ def test_features_of_long_texts_stay_off_the_driver(spark, monkeypatch, module,
     assert len(one.buckets) and one.buckets.tolist() == two.buckets.tolist() and one.weights.tolist() == two.weights.tolist()
 
 
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(6)
+    for width in (1, 9, 100):
+        rows = [np.flatnonzero(rng.random(width) < share).astype(np.int32) for share in (0, 0.01, 0.04, 0.5, 1)]
+        got = ngrams.unpacked([len(r) for r in rows], [ngrams.packed(r, width) for r in rows])
+        assert got.counts.tolist() == [len(r) for r in rows] and got.columns.tolist() == np.concatenate(rows).tolist()
+
+
 # 8 --------------------------------------------------------------------------------------------
 
 
